@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.op3_sentencepiece import op3_sentencepiece
+from weftline.llm.op6_secrets import op6_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sentencepiece": op3_sentencepiece}
+    return {
+        "op3_sentencepiece": op3_sentencepiece,
+        "op6_secrets": op6_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
