@@ -95,3 +95,26 @@ def int_lists(flat: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.Arr
 
 def map_arrow(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+def sample_pieces(df: DataFrame, by: str, id_col: str, text_col: str, counts: dict, rows: int, chars: int) -> dict[object, list[str]]:
+    """Middle pieces of `chars` characters from up to `rows` texts of each value of `by`, those with the smallest id hash.
+
+    `counts` has each value's rows, so a hash threshold leaves about four times what is wanted; what reaches the driver
+    is bounded by that, whatever the size of `df`.
+    """
+    share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    limit = None
+    for value, n in counts.items():
+        bound = F.lit(min(1.0, 4.0 * rows / max(n, 1)))
+        limit = F.when(F.col(by) == F.lit(value), bound) if limit is None else limit.when(F.col(by) == F.lit(value), bound)
+    if limit is None:
+        return {}
+    first = F.greatest(F.lit(1), ((F.length(text_col) - F.lit(chars)) / 2).cast("int") + 1)
+    got = df.filter(share <= limit).select(F.col(by).alias("k"), share.alias("h"), F.col(id_col).alias("id"), F.substring(F.col(text_col), first, F.lit(chars)).alias("t")).collect()
+    out: dict[object, list[str]] = {}
+    for r in sorted(got, key=lambda r: (r["h"], str(r["id"]), r["t"] or "")):
+        kept = out.setdefault(r["k"], [])
+        if r["t"] and len(kept) < rows:
+            kept.append(r["t"])
+    return out
