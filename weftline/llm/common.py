@@ -49,7 +49,15 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` wrote and nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._weftline_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm import op5_mixing, op7_minhash
+from weftline.llm.op10_langid import op10_langid
 from weftline.llm.op3_sentencepiece import op3_sentencepiece
 from weftline.llm.op6_secrets import op6_secrets
 
@@ -13,9 +15,15 @@ from weftline.llm.op6_secrets import op6_secrets
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": op3_sentencepiece,
+        "op5_mixing": op5_mixing.op5_mixing,
         "op6_secrets": op6_secrets,
+        "op7_minhash": op7_minhash.op7_minhash,
+        "op10_langid": op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": op5_mixing.ORACLE_SQL,
+        "op7_minhash": op7_minhash.ORACLE_SQL,
+    }
