@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import op5_mixing, op7_minhash
+from weftline.llm.op1_quality import op1_quality
 from weftline.llm.op10_langid import op10_langid
 from weftline.llm.op3_sentencepiece import op3_sentencepiece
 from weftline.llm.op6_secrets import op6_secrets
@@ -14,6 +15,7 @@ from weftline.llm.op6_secrets import op6_secrets
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_mixing": op5_mixing.op5_mixing,
         "op6_secrets": op6_secrets,
