@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import op5_mixing, op7_minhash
+from weftline.llm import op2_neardup, op5_mixing, op7_minhash
 from weftline.llm.op1_quality import op1_quality
 from weftline.llm.op10_langid import op10_langid
 from weftline.llm.op3_sentencepiece import op3_sentencepiece
@@ -17,6 +17,7 @@ from weftline.llm.op9_toxicity import op9_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_neardup": op2_neardup.op2_neardup,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_mixing": op5_mixing.op5_mixing,
         "op6_secrets": op6_secrets,
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_neardup": op2_neardup.ORACLE_SQL,
         "op5_mixing": op5_mixing.ORACLE_SQL,
         "op7_minhash": op7_minhash.ORACLE_SQL,
     }
