@@ -10,6 +10,7 @@ from weftline.llm import op2_neardup, op5_mixing, op7_minhash
 from weftline.llm.op1_quality import op1_quality
 from weftline.llm.op10_langid import op10_langid
 from weftline.llm.op3_sentencepiece import op3_sentencepiece
+from weftline.llm.op4_neighbours import op4_neighbours
 from weftline.llm.op6_secrets import op6_secrets
 from weftline.llm.op9_toxicity import op9_toxicity
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_neardup": op2_neardup.op2_neardup,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_neighbours": op4_neighbours,
         "op5_mixing": op5_mixing.op5_mixing,
         "op6_secrets": op6_secrets,
         "op7_minhash": op7_minhash.op7_minhash,
