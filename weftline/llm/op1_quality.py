@@ -159,6 +159,17 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def keep(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, whose text scores `threshold` or more: a filter without any shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, at):
+            yield part.filter(pa.array(model.score(statistics(part.column(at))) >= threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit(docs, read(spark, sf_dir, "labels"))

@@ -74,7 +74,7 @@ def position(before: Column, target: Column, slope: Column) -> Column:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, slopes=SLOPES, budget: float = BUDGET, repeat: int = REPEAT) -> DataFrame:
-    """Per row: id, `source`, `size`, `source_size`, `target`, `taken` (words, repeats counted) and `position` (of the first copy)."""
+    """Per row: id, `source`, `size`, `source_size`, `target`, `taken` (words, repeats counted), `position` (of the first copy), `before` and `slope`."""
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     sized = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), digest.alias("digest")), "mix-sizes")
     sized = sized.withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
@@ -90,7 +90,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     before = F.col("inside") + F.col("bucket_before")
     goal = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - before - F.col("source_size") * k)) for k in range(1, repeat)), F.greatest(F.lit(0), F.least(F.col("size"), goal - before)))
-    return docs.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), position(before, F.col("target"), F.col("slope")).alias("position"))
+    return docs.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), position(before, F.col("target"), F.col("slope")).alias("position"), before.alias("before"), "slope")
 
 
 def schedule(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -186,6 +186,23 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def redacted(df: DataFrame, mark: str = "[secret]", min_cost: float = MIN_COST, text_col: str = "text") -> DataFrame:
+    """All rows and columns of `df`, with the secrets in its texts replaced; null texts stay null."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1024):
+            column = part.column(at)
+            texts = column.to_pylist()
+            some = _may_match([t or "" for t in texts], column)
+            if any(some):
+                column = pa.array([replace(t, scan(t, min_cost), mark) if f and t else t for t, f in zip(texts, some, strict=True)], column.type)
+                part = part.set_column(at, part.schema.field(at), column)
+            yield part
+
+    return df.mapInArrow(run, df.schema)
+
+
 def replace(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
     """The text with each stretch that spans cover (touching or overlapping ones together) replaced by the mark."""
     if not spans:

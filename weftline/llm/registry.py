@@ -12,6 +12,7 @@ from weftline.llm.op10_langid import op10_langid
 from weftline.llm.op3_sentencepiece import op3_sentencepiece
 from weftline.llm.op4_neighbours import op4_neighbours
 from weftline.llm.op6_secrets import op6_secrets
+from weftline.llm.op8_lm import op8_lm
 from weftline.llm.op9_toxicity import op9_toxicity
 
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing.op5_mixing,
         "op6_secrets": op6_secrets,
         "op7_minhash": op7_minhash.op7_minhash,
+        "op8_lm": op8_lm,
         "op9_toxicity": op9_toxicity,
         "op10_langid": op10_langid,
     }
