@@ -1,6 +1,68 @@
+"""Corpus preparation: quality filter, near-duplicate removal, secret redaction, source mixing, tokenizing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns a DataFrame; all but the last keep the
+columns of documents. What a stage returns is written as Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import op1_quality, op3_sentencepiece, op5_mixing, op6_secrets, op7_minhash
+from weftline.llm.common import materialize, read
+
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on labelled rows of `docs`, doesn't reject."""
+    return op1_quality.keep(docs, op1_quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With `_id`, a row's identity: rows of the same id and text have the same, ids come first in its order, nulls last."""
+    key = F.xxhash64("doc_id", "text")
+    return docs.withColumn("_id", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), key.alias("k")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id; documents without words stay."""
+    found = op7_minhash.group(_keyed(docs), "_id")
+    kept = found.filter("kept").select(F.col("_id.k").alias("_k"), (F.col("n_shingles") > 0).alias("_once")).distinct()
+    rows = docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(kept, "_k")
+    rows = rows.withColumn("_u", F.when(F.col("_once"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_k", "_u"]).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced."""
+    out = op6_secrets.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes, to the nearest, in the order of their training positions."""
+    mixed = op5_mixing.mix(_keyed(docs), "_id")
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    mixed = mixed.filter("size > 0").withColumn("copies", copies).filter("copies > 0")
+    each = mixed.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    each = each.select(F.col("_id.k").alias("_k"), op5_mixing.position(F.col("before") + F.col("source_size") * F.col("c"), F.col("target"), F.col("slope")).alias("_at"))
+    return docs.withColumn("_k", F.xxhash64("doc_id", "text")).dropDuplicates(["_k"]).join(each, "_k").orderBy("_at", "_k").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of what they decode to."""
+    encoded = op3_sentencepiece.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("tokenize", tokenize)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
