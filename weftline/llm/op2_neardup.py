@@ -32,15 +32,15 @@ from weftline.llm.vectors import dense, matrix, spread_sample, stored, unit
 
 COSINE = 0.9
 #: Nodes a cluster should have, most clusters, and rows of the sample that centres are taken from, per centre.
-CLUSTER, MOST_CENTRES, POOL = 4_096, 16_384, 2
+CLUSTER, MOST_CENTRES, POOL = 2_048, 16_384, 2
 #: A node also belongs to clusters whose centre is at most this much farther (cosine), OVERLAP in all.
 MARGIN, OVERLAP = 0.2, 4
 #: Most nodes of a shard's side.
-BLOCK = 8_192
+BLOCK = 16_384
 DEGREE, CANDIDATES, ALPHA = 16, 48, 1.2
 #: Cosine from which a search goes on expanding.
 REACH = 0.6
-BEAM = 24
+BEAM = 8
 
 
 def robust_prune(x: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
