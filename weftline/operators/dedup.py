@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import similarity as S
+from weftline.operators.lineage import cut
 
 BITS, TABLES = 64, 4
 
@@ -98,13 +99,14 @@ def assign(names: DataFrame, pairs: DataFrame) -> DataFrame:
     Rounds over all undecided at once: without an undecided or unique earlier neighbour one is unique; with a unique one
     it is similar. The result equals going one by one.
     """
-    state = names.select("name", F.lit(None).cast("string").alias("kind")).checkpoint()
+    pairs = cut(pairs)
+    state = cut(names.select("name", F.lit(None).cast("string").alias("kind")))
     while True:
         before = pairs.join(state.select(F.col("name").alias("a"), F.col("kind").alias("ka")), "a")
         seen = before.groupBy(F.col("b").alias("name")).agg(F.bool_or(F.col("ka") == "unique").alias("near"), F.bool_or(F.col("ka").isNull()).alias("waits"))
         step = state.join(seen, "name", "left")
         kind = F.when(F.col("kind").isNotNull(), F.col("kind")).when(F.coalesce("near", F.lit(False)), "similar").when(~F.coalesce("waits", F.lit(False)), "unique")
-        state = step.select("name", kind.alias("kind")).checkpoint()
+        state = cut(step.select("name", kind.alias("kind")))
         if state.filter("kind is null").isEmpty():
             break
     refs = pairs.join(state.filter("kind = 'unique'").select(F.col("name").alias("a")), "a")

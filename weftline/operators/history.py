@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.lineage import cut
+
 
 def _walk(edges: DataFrame, start: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
     """Breadth-first rounds: `src, node, depth` reachable from `src` (itself at 0); a node seen before isn't expanded again."""
     spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/weftline-checkpoints"))
-    edges = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).checkpoint()
+    edges = cut(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")))
     seen = start.select("src", F.col("src").alias("node"), F.lit(0).alias("depth")).distinct()
     front, depth = seen, 0
     while most is None or depth < most:
         depth += 1
         step = front.join(edges, F.col("node") == F.col("_from")).select("src", F.col("_to").alias("node")).distinct()
-        front = step.join(seen, ["src", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        front = cut(step.join(seen, ["src", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front).coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         if depth % 8 == 0:
-            seen = seen.checkpoint()
+            seen = cut(seen)
     return seen
 
 
@@ -38,7 +38,7 @@ def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
 def common_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """`a, b, ancestor`: a common ancestor (selves included) that isn't one of another's; the largest id among several."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("src")).distinct()
-    up = _walk(edges, ends, "child", "parent").select("src", "node").checkpoint()
+    up = cut(_walk(edges, ends, "child", "parent").select("src", "node"))
     both = pairs.join(up.select(F.col("src").alias("a"), "node"), "a").join(up.select(F.col("src").alias("b"), "node"), ["b", "node"])
     above = both.join(edges, both["node"] == edges["child"]).select("a", "b", F.col("parent").alias("node")).distinct()
     # an ancestor of a common ancestor is the parent of one, as common ancestors are closed upwards
