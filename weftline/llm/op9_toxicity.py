@@ -156,8 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         return Model()
     contrast = _contrast(seen, counts)
     middle = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - 96), F.lit(192))
-    prose = [r["t"] for r in seen.filter("label = 0").orderBy("order", "id").limit(PROSE_BYTES // 128).select(middle.alias("t")).collect()]
-    model = Model(contrast[0], contrast[1], " ".join(prose).encode()[:PROSE_BYTES].lower())
+    grams = contrast[1].split()
+    found = [r["t"].lower().encode() for r in seen.filter("label = 0").orderBy("order", "id").limit(4 * PROSE_BYTES // 128).select(middle.alias("t")).collect()]
+    prose = [t for t in found if not any(g in t for g in grams)]  # else ordinary text would save on them as well
+    model = Model(contrast[0], contrast[1], b" ".join(prose)[:PROSE_BYTES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 0):
