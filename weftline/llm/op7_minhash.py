@@ -253,11 +253,14 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-held AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM split),
-sized AS (SELECT doc_id, s, len(s)::BIGINT AS n FROM held),
-items AS (SELECT doc_id, n, unnest(s) AS item FROM sized),
+spread AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS k FROM split),
+runs AS (
+  SELECT doc_id, i, k, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS item
+  FROM spread WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+held AS (SELECT DISTINCT doc_id, md5_number(item) AS item FROM runs WHERE i <= greatest(k - 4, 1)),
+counted AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+sized AS (SELECT split.doc_id, coalesce(n, 0)::BIGINT AS n FROM split LEFT JOIN counted USING (doc_id)),
+items AS (SELECT doc_id, n, item FROM held JOIN counted USING (doc_id)),
 links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 70 * (a.n + b.n - count(*))),
