@@ -161,3 +161,17 @@ def encodable(pairs: DataFrame, kind: str = "sparse", least_bytes: int = 512, le
 
 def cosine_of(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("cos", S.cosine(F.col("va"), F.col("vb")))
+
+
+def adaptive_quantize(pairs: DataFrame, bits: int = 8) -> DataFrame:
+    """`codes, low, scale, outliers`: values clipped to mean ± 3 deviations, then even steps, halves rounded to even; empty stays empty."""
+    d = pairs.withColumn("d", delta(F.col("va"), F.col("vb")))
+    n = F.size("d")
+    mean = S.total(F.col("d")) / n
+    d = d.withColumn("mean", mean).withColumn("std", F.sqrt(S.total(F.transform("d", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / n))
+    d = d.withColumns({"low": F.col("mean") - 3 * F.col("std"), "high": F.col("mean") + 3 * F.col("std")})
+    d = d.withColumn("scale", (F.col("high") - F.col("low")) / float(2**bits - 1))
+    outside = F.size(F.filter("d", lambda x: (x < F.col("low")) | (x > F.col("high"))))
+    clipped = F.transform("d", lambda x: F.least(F.greatest(x, F.col("low")), F.col("high")))
+    codes = F.transform(clipped, lambda x: F.when(F.col("scale") > 0, F.rint((x - F.col("low")) / F.col("scale"))).otherwise(0.0).cast("int"))
+    return d.withColumns({"outliers": F.when(n > 0, outside / n), "codes": codes}).drop("d", "mean", "std", "high")

@@ -85,3 +85,21 @@ def renamed(weights: DataFrame, names: dict[str, str], prefix: str = "") -> Data
     pairs = [F.lit(x) for kv in names.items() for x in kv]
     mapped = F.element_at(F.create_map(*pairs), F.col("name")) if pairs else F.lit(None).cast("string")
     return weights.withColumn("name", F.coalesce(mapped, F.concat(F.lit(prefix), "name")))
+
+
+def key_check(wanted: DataFrame, loaded: DataFrame) -> DataFrame:
+    """`name, problem`: names a model needs and the checkpoint lacks (missing), and the other way round (unexpected)."""
+    missing = wanted.select("name").join(loaded.select("name"), "name", "left_anti").withColumn("problem", F.lit("missing"))
+    return missing.unionByName(loaded.select("name").join(wanted.select("name"), "name", "left_anti").withColumn("problem", F.lit("unexpected")))
+
+
+def transfer_savings(items: DataFrame) -> DataFrame:
+    """Of `bytes, cached`: what was moved, what was saved, and the saved share in percent (0 for nothing)."""
+    out = items.agg(F.coalesce(F.sum(F.when(~F.col("cached"), F.col("bytes"))), F.lit(0)).alias("moved"), F.coalesce(F.sum(F.when(F.col("cached"), F.col("bytes"))), F.lit(0)).alias("saved"))
+    both = F.col("moved") + F.col("saved")
+    return out.withColumn("percent", F.when(both > 0, F.col("saved") * 100.0 / both).otherwise(0.0))
+
+
+def newest(publishes: DataFrame, limit: int = 50) -> DataFrame:
+    """Successful publishes, newest first."""
+    return publishes.filter("ok").orderBy(F.desc("at"), F.desc("id")).limit(limit)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import similarity as S
+from weftline.functions import text as X
 from weftline.operators import codec, compare, dedup, history, merge, stats, store
 from weftline.plans import views as V
 
@@ -457,3 +458,52 @@ def resolved_refs(spark, sf):
     refs = rows.select(F.col("commit").alias("name"), "commit", F.lit("commit").alias("kind")).unionByName(branches)
     wanted = rows.filter("c_custkey % 7 = 3").select(F.left("commit", F.lit(12)).alias("ref")).unionByName(branches.select(F.col("name").alias("ref")))
     return store.resolve(refs, wanted)
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM (SELECT doc_id, n_chars * 64 AS n FROM documents)")
+def readable_sizes(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", X.human_bytes(F.col("n_chars") * 64).alias("size"))
+
+
+@query("WITH u AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 's3://b' || o_custkey || '/x' WHEN 1 THEN 'minio://h:9/b' || o_custkey || '/x' WHEN 2 THEN 'file:///m' || o_custkey ELSE 'ftp://q' END AS url FROM orders) SELECT o_orderkey, CASE WHEN url LIKE 's3:%' OR url LIKE 'minio:%' THEN 's3' WHEN url LIKE 'file:%' THEN 'file' END AS kind, CASE WHEN url LIKE 's3:%' THEN split_part(url, '/', 3) WHEN url LIKE 'minio:%' THEN split_part(url, '/', 4) END AS bucket FROM u")
+def remote_urls(spark, sf):
+    key = F.col("o_custkey").cast("string")
+    kind = F.col("o_orderkey") % 4
+    url = F.when(kind == 0, F.concat(F.lit("s3://b"), key, F.lit("/x"))).when(kind == 1, F.concat(F.lit("minio://h:9/b"), key, F.lit("/x"))).when(kind == 2, F.concat(F.lit("file:///m"), key)).otherwise("ftp://q")
+    return V.table(spark, sf, "orders").withColumn("url", url).select("o_orderkey", X.remote_kind(F.col("url")).alias("kind"), X.remote_bucket(F.col("url")).alias("bucket"))
+
+
+@query("SELECT event_id, 'epoch ' || (event_id % 9) || ' step ' || event_id || ': ' || event_type AS message FROM events")
+def commit_messages(spark, sf):
+    rows = V.table(spark, sf, "events")
+    return rows.select("event_id", X.commit_message("epoch {epoch} step {step}: {note}", epoch=F.col("event_id") % 9, step=F.col("event_id"), note=F.col("event_type")).alias("message"))
+
+
+@query(_M + "SELECT name, 'missing' AS problem FROM m1 WHERE name NOT IN (SELECT name FROM m2) UNION ALL SELECT name, 'unexpected' FROM m2 WHERE name NOT IN (SELECT name FROM m1)")
+def load_key_check(spark, sf):
+    _, ours, theirs = _manifests(spark, sf)
+    return store.key_check(ours, theirs)
+
+
+@query("SELECT (sum(n_chars) FILTER (doc_id % 3 <> 0))::BIGINT AS moved, (sum(n_chars) FILTER (doc_id % 3 = 0))::BIGINT AS saved, round(sum(n_chars) FILTER (doc_id % 3 = 0) * 100.0 / sum(n_chars), 6) AS percent FROM documents")
+def transfer_savings(spark, sf):
+    rows = V.table(spark, sf, "documents").select(F.col("n_chars").alias("bytes"), (F.col("doc_id") % 3 == 0).alias("cached"))
+    return store.transfer_savings(rows).select("moved", "saved", r6("percent"))
+
+
+@query("SELECT event_id AS id, ts AS at FROM events WHERE event_id % 5 <> 0 ORDER BY ts DESC, event_id DESC LIMIT 50")
+def publish_history(spark, sf):
+    rows = V.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), (F.col("event_id") % 5 != 0).alias("ok"))
+    return store.newest(rows).select("id", "at")
+
+
+@query(_P + """, s AS (SELECT name, d, list_sum(d) / len(d) AS m FROM p), t AS (SELECT name, d, m, sqrt(list_sum(list_transform(d, lambda x: (x - m) * (x - m))) / len(d)) AS sd FROM s)
+  SELECT name, round(m - 3 * sd, 6) + 0.0 AS low, round(len(list_filter(d, lambda x: x < m - 3 * sd OR x > m + 3 * sd)) / len(d), 6) AS outliers FROM t""")
+def adaptive_quantization(spark, sf):
+    return codec.adaptive_quantize(_pairs(spark, sf)).select("name", r6("low"), r6("outliers"))
+
+
+@query(f"WITH RECURSIVE {V.EDGES_SQL}, chain AS (SELECT 1500::BIGINT AS node, 0 AS depth UNION ALL SELECT parent, depth + 1 FROM chain JOIN edges ON child = node AND place = 0), {V.MANIFEST_SQL} SELECT node, depth, hash FROM chain JOIN m0 ON m0.name = node")
+def weight_history(spark, sf):
+    chain = history.log(V.edges(spark, sf), spark.createDataFrame([(1500,)], "src long"), 1_000_000)
+    return chain.join(V.manifest(spark, sf, 0), F.col("node") == F.col("name")).select("node", "depth", "hash")
