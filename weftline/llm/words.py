@@ -132,3 +132,4 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20) ->
             stop = min(rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
             yield batch.slice(at, stop - at)
             at = stop
+    pa.default_memory_pool().release_unused()
