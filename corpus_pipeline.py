@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import op1_quality, op3_sentencepiece, op5_mixing, op6_secrets, op7_minhash
-from weftline.llm.common import materialize, read
+from weftline.llm.common import materialize, read, small_batches
 
 ORACLE_SQL = None
 
@@ -29,6 +29,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; documents without words stay."""
+    small_batches(spark)
     found = op7_minhash.group(_keyed(docs), "_id")
     kept = found.filter("kept").select(F.col("_id.k").alias("_k"), (F.col("n_shingles") > 0).alias("_once")).distinct()
     rows = docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(kept, "_k")
@@ -38,12 +39,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced."""
+    small_batches(spark)
     out = op6_secrets.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes, to the nearest, in the order of their training positions."""
+    small_batches(spark)
     mixed = op5_mixing.mix(_keyed(docs), "_id")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     mixed = mixed.filter("size > 0").withColumn("copies", copies).filter("copies > 0")
@@ -54,6 +57,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
+    small_batches(spark)
     encoded = op3_sentencepiece.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
