@@ -82,3 +82,13 @@ def test_nulls_empty_and_clashing_columns(spark):
     got = sorted((str(r.doc_id), len(r.spans)) for r in op6.find_secrets(df).collect())
     assert got == [("1", 0), ("1", 0), ("None", 1)]
     assert op6.find_secrets(df.limit(0)).count() == 0
+
+
+def test_hex_runs_end_with_their_row(spark):
+    secret = "0123456789abcdef01234567"
+    texts = ["ends in abc", f"{secret} rest", "abc", "", None, secret, "a" * 12, "b" * 12, f"é {secret}", secret]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in op6.find_secrets(df).collect()}
+    assert got == {i: op6.scan(t or "") for i, t in enumerate(texts)}
+    clean = {r.doc_id: r.text for r in op6.redacted(df, "#").collect()}
+    assert clean == {i: t and t.replace(secret, "#") for i, t in enumerate(texts)}

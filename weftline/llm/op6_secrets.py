@@ -7,7 +7,7 @@ runs and brute-force spans, by dynamic programming; costs are log10 of guesses a
 
 Spans are code points of the whole text, end exclusive. Null and empty texts have no spans. Rows are judged one by one,
 so repeated rows and null ids just pass through; other columns are not carried. A narrow map without any shuffle: cheap
-tests (substrings; runs of hex digits over all bytes of a batch) leave the patterns to the few texts that can match.
+tests (substrings; runs of hex digits over all bytes of a batch, cut at row ends) leave the patterns to the few texts that can match.
 """
 
 from __future__ import annotations
@@ -156,7 +156,11 @@ def _may_match(texts: list[str], column: pa.Array) -> list[bool]:
     raw, offs = utf8(column)
     hexes = ((raw >= 48) & (raw <= 57)) | ((raw >= 97) & (raw <= 102))
     edges = np.flatnonzero(np.diff(np.concatenate(([0], hexes.view(np.int8), [0]))))
-    starts = edges[0::2][(edges[1::2] - edges[0::2]) >= 24]
+    cuts = offs[1:-1]  # a row's end is a run's end, whatever comes next
+    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
+    cuts = np.unique(cuts[hexes[cuts - 1] & hexes[cuts]])
+    starts, stops = np.sort(np.concatenate([edges[0::2], cuts])), np.sort(np.concatenate([edges[1::2], cuts]))
+    starts = starts[stops - starts >= 24]
     flagged = np.zeros(len(texts), bool)
     flagged[np.searchsorted(offs, starts, side="right") - 1] = True
     for i, text in enumerate(texts):
