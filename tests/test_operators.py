@@ -55,6 +55,35 @@ def test_near_pairs_equal_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in dedup.near_pairs(made).collect()} == want and want
 
 
+def test_similar_pairs_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 32))
+    noise = rng.normal(size=base.shape)
+    near = base + 0.13 * rng.uniform(0.5, 1.6, (60, 1)) * noise  # cosines around the threshold
+    vectors = [*base, *near, *(base[:20] * 1.05), *(base[20:40] * 1.2), *(base[:10] * 1e-30), *rng.normal(size=(5, 8)), np.zeros(32), np.zeros(32), np.zeros(8), [], []]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(vectors)]
+    want = {}
+    for a, v in rows:
+        for b, w in rows[a + 1 :]:
+            if len(v) != len(w):
+                continue
+            p, q = np.linalg.norm(v), np.linalg.norm(w)
+            cos, mag = (1.0, 1.0) if p == q == 0 else (0.0, 0.0) if 0 in (p, q) else (np.dot(v, w) / (p * q), min(p, q) / max(p, q))
+            score = 0.7 * (cos + 1) / 2 + 0.3 * mag
+            if cos >= 0.98 and mag >= 0.9 and score > 0.98:
+                want[a, b] = score
+    extra = [(900, None), (901, [float("nan")] * 32), (902, [None] * 32), (None, [1.0] * 32)]
+    made = spark.createDataFrame(rows + extra, "name long, values array<double>")
+    for block in (dedup.BLOCK, 25):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        got = {(r["a"], r["b"]): r["score"] for r in dedup.similar_pairs(made).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assigned = {r["name"]: (r["kind"], r["ref"]) for r in dedup.assign(made.filter("name < 900"), dedup.similar_pairs(made)).collect()}
+        assert assigned == one_by_one([i for i, _ in rows], got)
+    some = {(r["a"], r["b"]) for r in dedup.similar_pairs(made.filter("name < 900"), approximate=True).collect()}
+    assert some < want.keys()
+
+
 def test_codecs_round_trip(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(5, 40)).astype(np.float32)

@@ -1,4 +1,4 @@
-"""Exact and near deduplication of tensors: hashes, SimHash fingerprints with bit-sliced buckets, and sequential assignment."""
+"""Exact and near deduplication of tensors: hashes, an exact similarity join, SimHash fingerprints with bit-sliced buckets, and sequential assignment."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from weftline.functions import similarity as S
 from weftline.operators.lineage import cut
 
 BITS, TABLES = 64, 4
+#: Rows of a side of the exact join's tasks.
+BLOCK = 16_384
 
 
 def exact(rows: DataFrame, key: str, content: str) -> DataFrame:
@@ -85,10 +88,75 @@ def near_pairs(model: DataFrame, most: int = 3, bits: int = BITS, tables: int =
     return met.select("a", "b", "distance").distinct()
 
 
-def similar_pairs(model: DataFrame, threshold: float = 0.98, tolerance: float = 0.1) -> DataFrame:
-    """`a, b, score` of candidates that pass direction, magnitude and hybrid score."""
+def close_pairs(model: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """`a, b` with a < b: all pairs of equal length that can pass direction and magnitude, and a few just below.
+
+    Each length's rows are cut into blocks of about BLOCK, and every two blocks meet in one task. Directions are single
+    precision there, so the bound is lowered by what rounding can take. Zero tensors are a direction of their own; those
+    that are null or hold null or non-finite components have no pairs.
+    """
+    kind = model.schema["name"].dataType.simpleString()
+    apart = 1e-9 - np.log(1.0 - tolerance) if tolerance < 1 else np.inf
+
+    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                good, vecs, sizes = [], [], []
+                for i in range(part.num_rows):
+                    v = np.asarray(part.column(1)[i].values.fill_null(np.nan).to_numpy(zero_copy_only=False), float)
+                    if not np.isfinite(v).all():
+                        continue
+                    top = np.abs(v).max(initial=0.0)
+                    v = v / top if top else v
+                    norm = np.sqrt(v @ v) if top else 1.0
+                    good.append(i)
+                    vecs.append(np.append(v / norm, 0.0 if top else 1.0).astype(np.float32).tobytes())
+                    sizes.append(float(np.log(top) + np.log(norm)) if top else 0.0)
+                names = part.column(0).take(pa.array(good, pa.int64()))
+                yield pa.RecordBatch.from_arrays([names, pa.array(vecs, pa.binary()), pa.array(sizes, pa.float64())], names=["name", "vec", "size"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(table.num_rows, -1)
+        size, side = table.column("size").to_numpy(), table.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = table.column("alone")[0].as_py()
+        right = left if alone else right
+        least = threshold - 1.2e-7 * (x.shape[1] + 8)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        y = x[right].T
+        for at in range(0, len(left), 512):
+            i, j = np.nonzero(x[left[at : at + 512]] @ y >= least)
+            i += at
+            keep = np.abs(size[left[i]] - size[right[j]]) <= apart
+            if alone:
+                keep &= i < j
+            found.append((left[i[keep]], right[j[keep]]))
+        a, b = (pa.array(np.concatenate(f)) for f in zip(*found, strict=True))
+        return pa.table([table.column("name").take(a), table.column("name").take(b)], names=["x", "y"])
+
+    rows = model.select("name", F.col("values").cast("array<double>").alias("values")).filter("name is not null and values is not null")
+    cuts = rows.groupBy(F.size("values").alias("dim")).agg(F.ceil(F.count("name") / BLOCK).cast("int").alias("blocks"))
+    tasks = cuts.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    made = rows.mapInArrow(directions, f"name {kind}, vec binary, size double")
+    made = made.withColumn("dim", (F.length("vec") / 4 - 1).cast("int")).join(F.broadcast(cuts), "dim").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    # task (i, j) of a length holds blocks i <= j; side 0 is block i
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("i"), F.greatest(other, F.col("block")).alias("j")))
+    each = made.withColumn("p", F.explode(meets))
+    each = each.select(F.concat_ws(":", "dim", "p.i", "p.j").alias("task"), (F.col("block") != F.col("p.i")).cast("int").alias("side"), (F.col("p.i") == F.col("p.j")).alias("alone"), "name", "vec", "size")
+    met = each.repartition(int(min(1000, 4 * tasks)), "task").groupBy("task").applyInArrow(meet, f"x {kind}, y {kind}")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
+
+
+def similar_pairs(model: DataFrame, threshold: float = 0.98, tolerance: float = 0.1, approximate: bool = False) -> DataFrame:
+    """`a, b, score` of all pairs that pass direction, magnitude and hybrid score.
+
+    With `approximate` only pairs whose SimHash fingerprints differ in 3 bits at most are looked at: of those at cosine
+    0.98 about 41 %, at 0.99 about 67 %.
+    """
     values = model.select("name", "values")
-    pairs = near_pairs(fingerprint(model)).join(values.select(F.col("name").alias("a"), F.col("values").alias("va")), "a").join(values.select(F.col("name").alias("b"), F.col("values").alias("vb")), "b")
+    pairs = near_pairs(fingerprint(model)) if approximate else close_pairs(model, threshold, tolerance)
+    pairs = pairs.join(values.select(F.col("name").alias("a"), F.col("values").alias("va")), "a").join(values.select(F.col("name").alias("b"), F.col("values").alias("vb")), "b")
     pairs = pairs.withColumns({"cos": S.cosine(F.col("va"), F.col("vb")), "mag": S.magnitude(F.col("va"), F.col("vb"))})
     return pairs.filter(S.matches(F.col("cos"), F.col("mag"), threshold, tolerance)).select("a", "b", S.hybrid(F.col("cos"), F.col("mag")).alias("score"))
 
