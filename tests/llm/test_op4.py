@@ -57,3 +57,14 @@ def test_footrule():
     rng = np.random.default_rng(0)
     ranks = np.array([rng.permutation(128) for _ in range(50)], np.uint8)
     assert (op4.footrule(ranks, ranks[3]) == np.abs(ranks.astype(int) - ranks[3].astype(int)).sum(axis=1)).all()
+
+
+def test_smallest_ids_of_many_copies(spark):
+    rng = np.random.default_rng(2)
+    vectors = [v.tolist() for v in np.vstack([rng.normal(size=(1500, 16)), np.repeat(rng.normal(size=(1, 16)), 1500, 0)])]
+    ids = rng.permutation(3000)
+    rows = spark.createDataFrame([(int(i), v) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>")
+    copies = sorted(ids[1500:].tolist())
+    asked = [copies[0], copies[7], copies[900]]
+    got = op4.neighbours(rows, F.col("id").isin(asked)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(q, c) for q in asked for c in [c for c in copies if c != q][:20]]

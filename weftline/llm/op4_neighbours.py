@@ -3,8 +3,9 @@
 PIVOTS directions, a bounded sample of the vectors with none near another, order every vector: its permutation of pivots
 from nearest to farthest. An inverted file lists, for each pivot, the vectors that have it among their POSTS nearest. A
 query reads the lists of its PROBES nearest pivots, ranks each list by footrule distance (sum of rank differences over
-all pivots), reranks the best RERANK of it (KEEP at least) by exact inner product in double precision, and the lists'
-results are merged. Every vector is in the index; recall against brute force is measured by `recall`.
+all pivots), reranks the best RERANK of it (KEEP at least, and all ties with the last) by exact inner product in double
+precision, and the lists' results are merged. Every vector is in the index, of its copies those that come first among
+ties; recall against brute force is measured by `recall`.
 
 Lists and their queries are cut into blocks and each two blocks meet in one task, so a pivot with a third of all vectors
 is just more tasks. Largest inner product becomes nearest direction by one more component: what a vector's length lacks
@@ -87,7 +88,10 @@ def search(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     longest = _longest(table)
     found = spread_sample(table, PIVOTS, POOL, 0.8)
     pivots = np.hstack([found, np.zeros((len(found), 1))]) if len(found) else np.zeros((1, 2))
-    posted = materialize(_ranked(table, pivots, longest, POSTS, False), "postings")
+    # copies have the same score, so of each vector those that come first among ties are enough; one may be the query itself
+    copy = F.row_number().over(Window.partitionBy("vec").orderBy(F.asc_nulls_last("id"), "row"))
+    candidates = table.withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy")
+    posted = materialize(_ranked(candidates, pivots, longest, POSTS, False), "postings")
     asked = materialize(_ranked(queries, pivots, longest, PROBES, True), "probes")
     sizes = lambda df, most, name: df.groupBy("pivot").agg(F.ceil(F.count("row") / most).cast("int").alias(name))
     cuts = sizes(posted, LIST_BLOCK, "lists").join(sizes(asked, QUERY_BLOCK, "asks"), "pivot")  # PIVOTS rows at most
@@ -107,7 +111,8 @@ def search(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for i, (row, vec, own) in enumerate(zip(b.column("row").to_pylist(), matrix(b.column("vec")), b.column("ranks").to_pylist(), strict=True)):
                 at = np.arange(n)
                 if most < n:
-                    at = np.argpartition(footrule(ranks, np.frombuffer(own, np.uint8)), most - 1)[:most]
+                    away = footrule(ranks, np.frombuffer(own, np.uint8))
+                    at = np.flatnonzero(away <= np.partition(away, most - 1)[most - 1])  # ties with the last one stay here, too
                 at = at[rows[at] != row]
                 score = (x[at] * vec).sum(axis=1)
                 if len(at) > k:
