@@ -8,8 +8,9 @@ precision, and the lists' results are merged. Every vector is in the index, of i
 ties; recall against brute force is measured by `recall`.
 
 Lists and their queries are cut into blocks and each two blocks meet in one task, so a pivot with a third of all vectors
-is just more tasks. Largest inner product becomes nearest direction by one more component: what a vector's length lacks
-of the longest one, 0 for queries.
+is just more tasks. Permutations know directions only, so lists are also cut into bands of nearly equal length (factor
+BAND), each ranked and reranked by itself. Vectors of the longest bands are the nearest of many queries whatever their
+direction: those of up to LONG of all rows meet every query in full, and those next in length are under more pivots.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part; shorter vectors count as
 continued with zeros; a query isn't compared with its own row, but with repeated rows; null ids are candidates (last among
@@ -31,6 +32,11 @@ from weftline.llm.vectors import matrix, spread_sample, stored, unit
 PIVOTS, POOL = 128, 2_048
 POSTS, PROBES = 4, 32
 RERANK, KEEP = 0.12, 512
+BAND, LONG = 1.25, 0.05
+#: Postings of bands that, with all longer ones, have up to this share of the rows.
+MORE_POSTS = ((0.15, 16), (0.4, 8))
+#: In place of a pivot: the list that every query reads in full.
+EVERY = -1
 LIST_BLOCK, QUERY_BLOCK = 8_192, 1_024
 
 
@@ -48,56 +54,62 @@ def footrule(ranks: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (np.maximum(ranks, query) - np.minimum(ranks, query)).sum(axis=1, dtype=np.uint16)
 
 
-def _ranked(table: DataFrame, pivots: np.ndarray, longest: float, lists: int, query: bool) -> DataFrame:
-    """`row, id, vec, ranks, pivot`: every row under its `lists` nearest pivots."""
+def bands(x: np.ndarray) -> np.ndarray:
+    """Number of each row's band of lengths; 0 is around length 1."""
+    top = np.abs(x).max(axis=1)
+    length = np.log(top) + 0.5 * np.log(((x / top[:, None]) ** 2).sum(axis=1))
+    return np.floor(length / np.log(BAND) + 0.5).astype(np.int32)
+
+
+def _posts(table: DataFrame) -> dict[int, int]:
+    """For each band how many lists its vectors are in; 0: in the one that every query reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ranks = permutations(lengthened(matrix(part.column(2)), longest, query), pivots)
-                near = [np.flatnonzero(r < lists).tolist() for r in ranks]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in ranks], pa.binary()), pa.array(near, pa.list_(pa.int32()))], names=["row", "id", "vec", "ranks", "pivots"])
-
-    kind = table.schema["id"].dataType.simpleString()
-    made = table.select("row", "id", "vec").mapInArrow(run, f"row long, id {kind}, vec binary, ranks binary, pivots array<int>")
-    return made.withColumn("pivot", F.explode("pivots")).drop("pivots")
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(bands(matrix(batch.column(0))))], names=["band"])
 
+    counts = sorted(((r["band"], r["count"]) for r in table.select("vec").mapInArrow(run, "band int").groupBy("band").count().collect()), reverse=True)
+    total, so_far, out = sum(n for _, n in counts), 0, {}
+    for band, n in counts:
+        so_far += n
+        out[band] = 0 if so_far <= LONG * total else next((posts for share, posts in MORE_POSTS if so_far <= share * total), POSTS)
+    return out
 
-def lengthened(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Directions with one more component, so that nearest direction means largest inner product."""
-    if query:
-        return np.hstack([unit(x), np.zeros((len(x), 1))])
-    x = x / longest
-    return np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))])
 
+def _ranked(table: DataFrame, pivots: np.ndarray, posts: dict[int, int] | None) -> DataFrame:
+    """`row, id, vec, ranks, band, pivot`: every row under its nearest pivots, by its band's `posts`; queries (None) under PROBES and EVERY."""
 
-def _longest(table: DataFrame) -> float:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(0))
-                top = np.abs(x).max()
-                yield pa.RecordBatch.from_arrays([pa.array([float(top * np.sqrt(((x / top) ** 2).sum(axis=1).max()))])], names=["n"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = matrix(part.column(2))
+                ranks, band = permutations(unit(x), pivots), bands(x)
+                if posts is None:
+                    near = [[EVERY, *np.flatnonzero(r < PROBES).tolist()] for r in ranks]
+                else:
+                    near = [np.flatnonzero(r < posts[b]).tolist() or [EVERY] for r, b in zip(ranks, band.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in ranks], pa.binary()), pa.array(band), pa.array(near, pa.list_(pa.int32()))], names=["row", "id", "vec", "ranks", "band", "pivots"])
 
-    return table.select("vec").mapInArrow(run, "n double").agg(F.max("n")).first()[0] or 1.0
+    kind = table.schema["id"].dataType.simpleString()
+    made = table.select("row", "id", "vec").mapInArrow(run, f"row long, id {kind}, vec binary, ranks binary, band int, pivots array<int>")
+    return made.withColumn("pivot", F.explode("pivots")).drop("pivots")
 
 
 def search(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """`query_row, query, rank, id, score` for stored tables (`row, id, vec`) that share their row numbers."""
-    longest = _longest(table)
-    found = spread_sample(table, PIVOTS, POOL, 0.8)
-    pivots = np.hstack([found, np.zeros((len(found), 1))]) if len(found) else np.zeros((1, 2))
+    pivots = spread_sample(table, PIVOTS, POOL, 0.8)
     # copies have the same score, so of each vector those that come first among ties are enough; one may be the query itself
     copy = F.row_number().over(Window.partitionBy("vec").orderBy(F.asc_nulls_last("id"), "row"))
     candidates = table.withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy")
-    posted = materialize(_ranked(candidates, pivots, longest, POSTS, False), "postings")
-    asked = materialize(_ranked(queries, pivots, longest, PROBES, True), "probes")
-    sizes = lambda df, most, name: df.groupBy("pivot").agg(F.ceil(F.count("row") / most).cast("int").alias(name))
-    cuts = sizes(posted, LIST_BLOCK, "lists").join(sizes(asked, QUERY_BLOCK, "asks"), "pivot")  # PIVOTS rows at most
+    posted = materialize(_ranked(candidates, pivots, _posts(candidates)), "postings")
+    asked = materialize(_ranked(queries, pivots, None).drop("band"), "probes")
+    sizes = lambda df, by, most, name: df.groupBy(*by).agg(F.ceil(F.count("row") / most).cast("int").alias(name))
+    cuts = sizes(posted, ["pivot", "band"], LIST_BLOCK, "lists").join(sizes(asked, ["pivot"], QUERY_BLOCK, "asks"), "pivot")  # PIVOTS + 1 rows a band at most
     block = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-    unit_of = lambda a, b: F.concat_ws(":", "pivot", a, b)
-    left = posted.join(F.broadcast(cuts), "pivot").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("unit", unit_of(block("lists"), "other"))
+    unit_of = lambda a, b: F.concat_ws(":", "pivot", "band", a, b)
+    left = posted.join(F.broadcast(cuts), ["pivot", "band"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("unit", unit_of(block("lists"), "other"))
     right = asked.join(F.broadcast(cuts), "pivot").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).withColumn("unit", unit_of("other", block("asks")))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -107,7 +119,7 @@ def search(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if n and b.num_rows:
             x, width = matrix(a.column("vec")), len(a.column("ranks")[0].as_py())
             ranks = np.frombuffer(b"".join(a.column("ranks").to_pylist()), np.uint8).reshape(n, width)
-            most = min(n, max(KEEP, int(np.ceil(RERANK * n))))
+            most = n if a.column("pivot")[0].as_py() == EVERY else min(n, max(KEEP, int(np.ceil(RERANK * n))))
             for i, (row, vec, own) in enumerate(zip(b.column("row").to_pylist(), matrix(b.column("vec")), b.column("ranks").to_pylist(), strict=True)):
                 at = np.arange(n)
                 if most < n:
@@ -128,7 +140,7 @@ def search(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pa.table([b.column("row").take(pa.array(q)), b.column("id").take(pa.array(q)), a.column("row").take(pa.array(c)), ids.take(pa.array(c)), pa.array(s)], names=["query_row", "query", "row", "id", "score"])
 
     kind = table.schema["id"].dataType.simpleString()
-    met = left.select("unit", "row", "id", "vec", "ranks").groupBy("unit").cogroup(right.select("unit", "row", "id", "vec", "ranks").groupBy("unit")).applyInArrow(meet, f"query_row long, query {kind}, row long, id {kind}, score double")
+    met = left.select("unit", "row", "id", "vec", "ranks", "pivot").groupBy("unit").cogroup(right.select("unit", "row", "id", "vec", "ranks").groupBy("unit")).applyInArrow(meet, f"query_row long, query {kind}, row long, id {kind}, score double")
     once = met.groupBy("query_row", "row").agg(F.first("query").alias("query"), F.first("id").alias("id"), F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row"))
     return once.withColumn("rank", place).filter(F.col("rank") <= k).select("query_row", "query", "rank", "id", "score")
