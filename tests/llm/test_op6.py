@@ -92,3 +92,11 @@ def test_hex_runs_end_with_their_row(spark):
     assert got == {i: op6.scan(t or "") for i, t in enumerate(texts)}
     clean = {r.doc_id: r.text for r in op6.redacted(df, "#").collect()}
     assert clean == {i: t and t.replace(secret, "#") for i, t in enumerate(texts)}
+
+
+def test_cost_decides_for_values_of_one_class():
+    for text, value in (("passphrase: kqzjwxmvplkhgftr", "kqzjwxmvplkhgftr"), ("pwd=8305917264038157", "8305917264038157"), ("private_key => 'QZJXKWVMPLRTGHBD'", "QZJXKWVMPLRTGHBD")):
+        at = text.index(value)
+        assert op6.guess_spans(text) == [("guess", at, at + len(value))], text
+    for text in ("the key is understanding", "pwd: aaaaaaaaaaaaaaaa", "passphrase: correcthorsemoon", "pwd=20240131"):
+        assert op6.guess_spans(text) == [], text

@@ -3,7 +3,8 @@
 Base kinds (`assign`, `access`, `hex`) are leftmost non-overlapping matches of their patterns; matches that fail the
 length test are dropped. The added kind `guess` covers values after a credential word and a separator whose guess cost
 is high: the cheapest segmentation of the value into common words, dates, repeats, keyboard walks, alphabet or digit
-runs and brute-force spans, by dynamic programming; costs are log10 of guesses and add up.
+runs and brute-force spans, by dynamic programming; costs are log10 of guesses and add up. After `is`, where prose goes
+on in plain words, values of one character class only (such as lower-case letters) are left out whatever they cost.
 
 Spans are code points of the whole text, end exclusive. Null and empty texts have no spans. Rows are judged one by one,
 so repeated rows and null ids just pass through; other columns are not carried. A narrow map without any shuffle: cheap
@@ -141,7 +142,8 @@ def guess_spans(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, i
     out = []
     for m in CONTEXT.finditer(text):
         value = m.group(1).rstrip(".!?)]}")
-        if len(value) >= 6 and _classes(value) >= 2 and guess_cost(value) >= min_cost:
+        prose = text[m.start() : m.start(1)].rstrip(" \"'")[-1] not in ":=>"
+        if len(value) >= 6 and (not prose or _classes(value) >= 2) and guess_cost(value) >= min_cost:
             out.append(("guess", m.start(1), m.start(1) + len(value)))
     return out
 
