@@ -89,3 +89,21 @@ def test_pigeonhole_guarantee():
     for row in y:
         row[rng.permutation(op7.K)[:most]] ^= 1
     assert (op7.chunk_keys(x) == op7.chunk_keys(y)).any(axis=1).all()
+
+
+def test_passage_shared_by_thousands(spark, monkeypatch):
+    """One passage in 5,000 otherwise different documents, a few of which have a near copy that no hub finds for sure."""
+    monkeypatch.setattr(op7, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 1_000_000, n)]
+    passage = words(40)
+    docs = [[*words(30), *passage, *words(30)] for _ in range(5_000)]
+    near = [(i, [*docs[i][:-6], *words(6)]) for i in range(0, 5_000, 250)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(10_000 + i, " ".join(d)) for i, d in near]
+    got = {r.doc_id: r.component_id for r in op7.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: d - 10_000 if d >= 10_000 else d for d, _ in rows}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "x", 7), (2, "a b c", 6, "y", 8)], "doc_id long, text string, node long, digest string, component long")
+    assert sorted(map(tuple, op7.group(df).select("doc_id", "n_shingles", "component_id", "kept").collect())) == [(1, 1, 1, True), (2, 1, 1, False)]

@@ -67,9 +67,11 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove tables that `materialize` wrote and nothing reads any more."""
+    """Remove tables that `materialize` wrote and nothing reads any more; a collection in the driver frees shuffle files of finished jobs."""
     for df in tables:
         _remove(df.sparkSession, df._weftline_path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -28,7 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         release(pairs, large)
         pairs, before, state = after, state, _state(after)
         if state == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out._weftline_path = pairs._weftline_path  # so that it can be released
+            return out
 
 
 def _state(pairs: DataFrame):

@@ -8,18 +8,22 @@ such pairs are certain to meet under a key. Links are confirmed on the full sets
 Equal sets are one node from the start. Under each key, nodes are first compared with one of them (a hub), which joins
 large groups of near copies in about as many comparisons as they have nodes; then all pairs under a key whose ends are
 still in different components are compared, so no link between components is missed and none inside one is spent on.
-Sets are made only for nodes that share a key with another: a bitmap of a fixed size tells which texts to read again.
+Sizes and signatures are tested before any text is read. Texts are read again only for pairs that pass (a bitmap of a
+fixed size tells which), travel compressed, and become sets where they meet. Before the last step pairs must also be near
+by LONG further minima, so documents that share a passage are told apart without their texts.
 
 Defined results: null, empty and blank texts have no set, link with nothing and are their own component; a text with
 fewer than 5 words has one shingle, its whole sequence; repeated rows are copies; a null id takes part in linking but
-never names a component unless all ids of the component are null (the component is null then, and `kept` false). Other
-columns than id and text are not carried, so clashing names can't arise.
+never names a component unless all ids of the component are null (the component is null then, and `kept` false). Very long
+texts are handled whole; an empty table gives an empty result. Other columns than id and text are not carried, so
+clashing names can't arise.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,16 @@ SHINGLE = 5
 PERCENT = 70
 CHUNK, CHUNKS, ERRORS = 4, 12, 1
 K = CHUNK * CHUNKS
-#: Candidates above this signature distance aren't compared: at the least similarity the chance of one is under 1e-4.
-MOST_DISTANCE = 29
+#: Nodes aren't compared with a hub above this signature distance; what is left out here still meets in `_crossing`.
+HUB_DISTANCE = 31
+#: Minima of the long signatures and the distance above which pairs are dropped: at the least similarity the chance is under 1e-7.
+LONG, LONG_DISTANCE = 256, 121
+#: Rows of a key that meet at once.
+BLOCK = 2_048
 #: log2 of the bits of the map of texts to read again; 8 MB, whatever the input.
 MAP_BITS = 26
 _MULTIPLY = (np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_LONG_MULTIPLY = (np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, LONG, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
 def _signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -115,38 +124,35 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Of `key, a, b, sa, sb`: the pairs within MOST_DISTANCE, each only under the first key that both have."""
+def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of `a, b` the pairs `a, b, ha, hb` (with text hashes) that sizes and signatures don't rule out: a cheap test before texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x, y = _matrix(part.column(3)), _matrix(part.column(4))
-                near = (x != y).sum(axis=1) <= MOST_DISTANCE
-                kx = chunk_keys(x)
-                same = kx == chunk_keys(y)
-                near &= kx[np.arange(len(kx)), same.argmax(axis=1)] == part.column(0).to_numpy().view(np.uint64)
-                keep = pa.array(near)
-                yield pa.RecordBatch.from_arrays([part.column(1).filter(keep), part.column(2).filter(keep)], names=["a", "b"])
+                near = (_matrix(part.column(4)) != _matrix(part.column(5))).sum(axis=1) <= HUB_DISTANCE
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(near)) for k in range(4)], names=["a", "b", "ha", "hb"])
 
-    return pairs.select("key", "a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    x = nodes.select(F.col("node").alias("a"), F.col("text_hash").alias("ha"), F.col("signature").alias("sa"), F.col("n").alias("na"))
+    y = nodes.select(F.col("node").alias("b"), F.col("text_hash").alias("hb"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
+    met = pairs.join(x, "a").join(y, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return met.select("a", "b", "ha", "hb", "sa", "sb").mapInArrow(run, "a long, b long, ha long, hb long")
 
 
 def _bitmap(hashes: DataFrame) -> bytes:
     """Bits of the hashes' leading MAP_BITS, gathered as 64-bit words: at most 2**(MAP_BITS - 6) rows whatever comes in."""
     top = F.shiftrightunsigned(F.col("text_hash"), 64 - MAP_BITS)
     words = hashes.groupBy(F.shiftright(top, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (top % 64).cast("int"))).alias("bits"))
+    got = words.toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for r in words.collect():
-        out[r["w"]] = r["bits"]
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     return out.tobytes()
 
 
-def _sets(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """`node, items` of the wanted `node, text_hash`."""
-    spark = df.sparkSession
-    bits = spark.sparkContext.broadcast(_bitmap(wanted))
+def _reread(df: DataFrame, text_col: str, wanted: DataFrame, make: Callable[[pa.Array], list[bytes]]) -> DataFrame:
+    """`text_hash, made` of the texts whose hashes are wanted, once each; `make` turns a column of texts into bytes."""
+    bits = df.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(bits.value, np.int64)
@@ -164,61 +170,97 @@ def _sets(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                     rows.append(row)
                     found.append(h)
             if rows:
-                hashes, first = shingles(Words(part.column(0).take(pa.array(rows))), SHINGLE)
-                sets = [_set_of(hashes[first[i] : first[i + 1]]).tobytes() for i in range(len(rows))]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], names=["text_hash", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(make(part.column(0).take(pa.array(rows))), pa.binary())], names=["text_hash", "made"])
 
-    made = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "text_hash long, items binary")
-    return made.join(wanted, "text_hash").groupBy("node").agg(F.first("items").alias("items"))
+    made = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "text_hash long, made binary")
+    return made.groupBy("text_hash").agg(F.first("made").alias("made"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs `a, b` whose full sets are similar enough."""
+def _packed(column: pa.Array) -> list[bytes]:
+    """Texts, compressed: some three times smaller than the hashes of their shingles, which are made again where they meet."""
+    import zstandard
+
+    coder = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    return [coder.compress(t.encode()) for t in column.to_pylist()]
+
+
+def _sets_of(bodies: list[bytes]) -> list[np.ndarray]:
+    import zstandard
+
+    coder = zstandard.ZstdDecompressor()
+    hashes, first = shingles(Words(pa.array([coder.decompress(b) for b in bodies], pa.binary()).cast(pa.string())), SHINGLE)
+    return [_set_of(hashes[first[i] : first[i + 1]]) for i in range(len(bodies))]
+
+
+def _long_signatures(column: pa.Array) -> list[bytes]:
+    """LONG further minima of each text's shingles, 8 bits of each."""
+    hashes, first = shingles(Words(column), SHINGLE)
+    x = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
+    out = np.empty((len(first) - 1, LONG), np.uint8)
+    for k in range(LONG):
+        low = np.minimum.reduceat(x * _LONG_MULTIPLY[k], first[:-1]) * np.uint32(0x9E3779B1)
+        out[:, k] = (low >> np.uint32(24)).astype(np.uint8)
+    return [r.tobytes() for r in out]
+
+
+def _confirmed(pairs: DataFrame, df: DataFrame, text_col: str, percent: int) -> DataFrame:
+    """Of the pairs `a, b, ha, hb` those whose full sets are similar enough, as `a, b`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, other = None, np.zeros(0, np.uint64)
         for batch in batches:
+            b, x, y = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([p, q]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+            for at in range(0, len(b), 64):
+                for i, p in enumerate(_sets_of(x[at : at + 64]), at):
+                    if b[i] != hub:  # rows come sorted by b, so a hub's set is made once for many
+                        hub, other = b[i], _sets_of([y[i].as_py()])[0]
+                    both = np.sort(np.concatenate([p, other]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep.append(100 * common >= percent * (len(p) + len(other) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    wanted = pairs.select(F.explode(F.array("ha", "hb")).alias("text_hash")).distinct()
+    texts = _reread(df, text_col, wanted, _packed)
+    x, y = texts.select(F.col("text_hash").alias("ha"), F.col("made").alias("x")), texts.select(F.col("text_hash").alias("hb"), F.col("made").alias("y"))
+    return pairs.join(x, "ha").join(y, "hb").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, `n_shingles`, `component_id`, `kept` and `text_hash` (null without words)."""
     rows = materialize(sketch(df, id_col, text_col), "sketches")
-    nodes = rows.filter("n > 0").groupBy("digest").agg(F.min("text_hash").alias("text_hash"), F.min("signature").alias("signature"))
+    nodes = rows.filter("n > 0").groupBy("digest").agg(F.min("text_hash").alias("text_hash"), F.min("signature").alias("signature"), F.min("n").alias("n"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = _keyed(nodes)
-    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("node").alias("rows")).filter("rows > 1")
-    met = materialize(keyed.join(shared.select("key", "hub"), "key"), "buckets")
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
-    sets = materialize(_sets(df, text_col, wanted.select("node", "text_hash")), "sets")
-    # one hub for each node, then a hub in each key where components still meet, then all that still meet
-    links = materialize(_confirmed(met.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).withColumnRenamed("node", "a"), sets, percent), "links")
-    met = met.select("key", "node")
-    for last in (False, True):
-        open_ = _open(met, components(links))
-        open_ = materialize(open_, "open")
-        if not last:
-            hubs = open_.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node")).alias("hub"))
-            pairs = open_.join(hubs, "key").filter(F.col("component") != F.col("hub.component"))
-            pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min_by("hub.node", F.xxhash64("key")).alias("b"))
-        else:
-            pairs = _crossing(open_, nodes)
-        more = materialize(_confirmed(pairs, sets, percent), "links")
-        links = links.unionByName(more)
-        release(open_)
-    named = nodes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("top > hub").drop("top")
+    met = materialize(keyed.join(hubs, "key"), "met")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "pairs")
+        out = materialize(_confirmed(pairs, df, text_col, percent), "links")
+        release(pairs)
+        return out
+
+    # each node with the hub that it shares most keys with, then a hub in each key where components still meet, then all that still meet
+    often = met.filter("node <> hub").repartition("node").groupBy("node", "hub").agg(F.count("key").alias("keys"))
+    links = [confirm(_alike(often.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("keys", F.negate("hub"))).alias("b")), nodes, percent))]
+    found = components(links[0])
+    open_ = materialize(_open(met.select("key", "node"), found), "open")
+    release(met, found)
+    hubs = open_.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node")).alias("hub"))
+    pairs = open_.join(hubs, "key").filter(F.col("component") != F.col("hub.component"))
+    pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min_by("hub.node", F.xxhash64("key")).alias("b"))
+    links.append(confirm(_alike(pairs, nodes, percent)))
+    found = components(links[0].unionByName(links[1]))
+    still = materialize(_open(open_.select("key", "node"), found), "open")
+    release(open_, found)
+    if not still.isEmpty():
+        links.append(confirm(_crossing(still, nodes, df, text_col, percent)))
+    release(still)
+    found = components(functools.reduce(DataFrame.unionByName, links))
+    release(*links)
+    named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     placed = rows.join(named, "digest", "left")
     # documents without a set are components of their own, keyed by id; their rows never meet others
     names = placed.filter("component is not null").groupBy("component").agg(F.min("id").alias("name"))
@@ -234,16 +276,47 @@ def _open(met: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(keys.select("key"), "key")
 
 
-def _crossing(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All near pairs under a key that are in different components: rows outside the key's largest component against all rows."""
+def _crossing(open_: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str, percent: int) -> DataFrame:
+    """`a, b, ha, hb` of all pairs under a key that are in different components and whose long signatures are near.
+
+    Rows outside the key's largest component (the minor ones) meet all rows of the key, in units of BLOCK minor rows and
+    BLOCK others that are compared as arrays: a key of any size is just more units, and only near pairs leave them. Keys
+    of one unit share tasks.
+    """
     sized = open_.groupBy("key", "component").agg(F.count("node").alias("rows"))
-    largest = sized.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
-    full = open_.join(nodes.select("node", "signature"), "node")
-    minor = full.join(largest, "key").filter("component <> largest")
-    left = minor.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("sa"), "largest")
-    right = full.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("signature").alias("sb"))
-    once = (F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))
-    return _near(left.join(right, "key").filter((F.col("ca") != F.col("cb")) & once)).distinct()
+    keys = sized.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
+    keys = keys.select("key", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("all"), F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("int").alias("minor"))
+    wanted = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text_hash", "n")
+    long = _reread(df, text_col, wanted, _long_signatures).join(wanted, "text_hash")
+    long = materialize(long.select("node", "text_hash", "n", F.col("made").alias("sig")), "long")
+    rows = open_.join(long, "node").join(keys, "key")
+    shared = max(1, open_.count() // 32_768)
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    alone = (F.col("all") == 1) & (F.col("minor") == 1)
+    unit = lambda i, j: F.when(alone, F.pmod(F.xxhash64("key"), F.lit(shared)).cast("string")).otherwise(F.concat_ws(":", "key", i, j))
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    carried = ["key", "node", "component", "n", "text_hash", "sig"]
+    left = rows.filter("component <> largest").withColumn("other", others("all")).select(unit(block("minor"), "other").alias("unit"), F.lit(0).alias("side"), F.lit(False).alias("top"), *carried)
+    right = rows.withColumn("other", others("minor")).select(unit("other", block("all")).alias("unit"), F.lit(1).alias("side"), (F.col("component") == F.col("largest")).alias("top"), *carried)
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("side", "ascending")])
+        key, side, top, node, component, n, own = (table.column(c).to_numpy() for c in ("key", "side", "top", "node", "component", "n", "text_hash"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, LONG)
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
+        p, q = [], []
+        for start, stop in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            cut = start + int(np.searchsorted(side[start:stop], 1))
+            r = np.arange(cut, stop)
+            for i in range(start, cut):
+                j = r[(component[r] != component[i]) & (top[r] | (node[r] > node[i])) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
+                j = j[np.count_nonzero(sig[j] != sig[i], axis=1) <= LONG_DISTANCE]
+                p.append(np.full(len(j), i))
+                q.append(j)
+        p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (p, q))
+        return pa.table({"a": node[p], "b": node[q], "ha": own[p], "hb": own[q]})
+
+    return left.unionByName(right).groupBy("unit").applyInArrow(meet, "a long, b long, ha long, hb long").distinct()
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
