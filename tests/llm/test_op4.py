@@ -70,18 +70,32 @@ def test_smallest_ids_of_many_copies(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(q, c) for q in asked for c in [c for c in copies if c != q][:20]]
 
 
-def test_recall_on_uneven_lengths(spark, monkeypatch):
-    monkeypatch.setattr(op4, "KEEP", 40)
+def measured(spark, y, step):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(y.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in op4.neighbours(rows, F.col("id") % step == 0).collect()}
+    asked = np.arange(0, len(y), step)
+    s = y[asked] @ y.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    want = {(q, c) for q, top in zip(asked.tolist(), np.argsort(-s, axis=1)[:, :20].tolist(), strict=True) for c in top}
+    return len(got & want) / len(want)
+
+
+def test_recall_on_vectors_that_share_a_direction(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 64))
+    x[:, 0] += 20.0  # mean cosine 0.86
+    assert measured(spark, x / np.linalg.norm(x, axis=1, keepdims=True), 500) >= 0.9
+
+
+def test_equal_vectors(spark):
+    rows = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    got = op4.neighbours(rows, F.col("id") == 3, 4).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(3, c, 5.0) for c in (0, 1, 2, 4)]
+
+
+def test_recall_on_uneven_lengths(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(6000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     for lengths in (np.exp(rng.normal(size=6000)), np.where(rng.random(6000) < 0.01, 10.0, 1.0)):
-        y = x * lengths[:, None]
-        rows = spark.createDataFrame([(i, v) for i, v in enumerate(y.tolist())], "vec_id long, embedding array<double>")
-        got = {(r.query_id, r.vec_id) for r in op4.neighbours(rows, F.col("id") % 200 == 0).collect()}
-        asked = np.arange(0, 6000, 200)
-        s = y[asked] @ y.T
-        s[np.arange(len(asked)), asked] = -np.inf
-        want = {(q, c) for q, top in zip(asked.tolist(), np.argsort(-s, axis=1)[:, :20].tolist(), strict=True) for c in top}
-        print("recall", len(got & want) / len(want))
-        assert len(got & want) >= 0.9 * len(want)
+        assert measured(spark, x * lengths[:, None], 200) >= 0.9

@@ -1,11 +1,12 @@
 """Nearest neighbours by a permutation index.
 
 PIVOTS directions, a bounded sample of the vectors with none near another, order every vector: its permutation of pivots
-from nearest to farthest. An inverted file lists, for each pivot, the vectors that have it among their POSTS nearest. A
-query reads the lists of its PROBES nearest pivots, ranks each list by footrule distance (sum of rank differences over
-all pivots), reranks the best RERANK of it (KEEP at least, and all ties with the last) by exact inner product in double
-precision, and the lists' results are merged. Every vector is in the index, of its copies those that come first among
-ties; recall against brute force is measured by `recall`.
+from nearest to farthest. Candidates are taken relative to their mean, which changes each query's products by a constant
+only, so that vectors which share a direction are told apart as well. An inverted file lists, for each pivot, the vectors
+that have it among their POSTS nearest. A query reads the lists of its PROBES nearest pivots, ranks each list by footrule
+distance (sum of rank differences over all pivots), reranks the best part of it (RERANK / sqrt(rows of the table), all
+ties with the last included) by exact inner product in double precision, and the lists' results are merged. Every vector
+is in the index, of its copies those that come first among ties; recall against brute force is measured by `recall`.
 
 Lists and their queries are cut into blocks and each two blocks meet in one task, so a pivot with a third of all vectors
 is just more tasks. Permutations know directions only, so lists are also cut into bands of nearly equal length (factor
@@ -19,6 +20,7 @@ ties), never queries; empty tables give empty results. Other columns than id and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +29,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialize, read
-from weftline.llm.vectors import matrix, spread_sample, stored, unit
+from weftline.llm.vectors import directions, matrix, mean, spread_sample, stored
 
 PIVOTS, POOL = 128, 2_048
 POSTS, PROBES = 4, 32
-RERANK, KEEP = 0.12, 512
+#: How far queries are moved by the candidates' mean before they are ranked: nearly all, as what is left of the mean decides
+#: between candidates whose lengths along it differ.
+QUERY_SHIFT = 0.9
+#: A list's reranked share is this over the square root of the table's rows: 45 % of 2,000, 9 % of 50,000, 0.2 % of 10**8.
+RERANK = 20.0
 BAND, LONG = 1.25, 0.05
 #: Postings of bands that, with all longer ones, have up to this share of the rows.
 MORE_POSTS = ((0.15, 16), (0.4, 8))
 #: In place of a pivot: the list that every query reads in full.
 EVERY = -1
-LIST_BLOCK, QUERY_BLOCK = 8_192, 1_024
+LIST_BLOCK, QUERY_BLOCK = 16_384, 4_096
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -56,28 +62,28 @@ def footrule(ranks: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def bands(x: np.ndarray) -> np.ndarray:
     """Number of each row's band of lengths; 0 is around length 1."""
-    top = np.abs(x).max(axis=1)
-    length = np.log(top) + 0.5 * np.log(((x / top[:, None]) ** 2).sum(axis=1))
+    top = np.maximum(np.abs(x).max(axis=1), 1e-300)
+    length = np.log(top) + 0.5 * np.log(np.maximum(((x / top[:, None]) ** 2).sum(axis=1), 1e-300))
     return np.floor(length / np.log(BAND) + 0.5).astype(np.int32)
 
 
-def _posts(table: DataFrame) -> dict[int, int]:
-    """For each band how many lists its vectors are in; 0: in the one that every query reads."""
+def _posts(table: DataFrame, centre: np.ndarray) -> tuple[dict[int, int], int]:
+    """For each band how many lists its vectors are in (0: in the one that every query reads), and the rows of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(bands(matrix(batch.column(0))))], names=["band"])
+                yield pa.RecordBatch.from_arrays([pa.array(bands(matrix(batch.column(0)) - centre))], names=["band"])
 
     counts = sorted(((r["band"], r["count"]) for r in table.select("vec").mapInArrow(run, "band int").groupBy("band").count().collect()), reverse=True)
     total, so_far, out = sum(n for _, n in counts), 0, {}
     for band, n in counts:
         so_far += n
         out[band] = 0 if so_far <= LONG * total else next((posts for share, posts in MORE_POSTS if so_far <= share * total), POSTS)
-    return out
+    return out, total
 
 
-def _ranked(table: DataFrame, pivots: np.ndarray, posts: dict[int, int] | None) -> DataFrame:
+def _ranked(table: DataFrame, pivots: np.ndarray, centre: np.ndarray, posts: dict[int, int] | None) -> DataFrame:
     """`row, id, vec, ranks, band, pivot`: every row under its nearest pivots, by its band's `posts`; queries (None) under PROBES and EVERY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +91,8 @@ def _ranked(table: DataFrame, pivots: np.ndarray, posts: dict[int, int] | None)
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = matrix(part.column(2))
-                ranks, band = permutations(unit(x), pivots), bands(x)
+                away = x - centre
+                ranks, band = permutations(directions(x - QUERY_SHIFT * centre if posts is None else away), pivots), bands(away)
                 if posts is None:
                     near = [[EVERY, *np.flatnonzero(r < PROBES).tolist()] for r in ranks]
                 else:
@@ -99,12 +106,17 @@ def _ranked(table: DataFrame, pivots: np.ndarray, posts: dict[int, int] | None)
 
 def search(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """`query_row, query, rank, id, score` for stored tables (`row, id, vec`) that share their row numbers."""
-    pivots = spread_sample(table, PIVOTS, POOL, 0.8)
+    centre = mean(table)
+    pivots = spread_sample(table, PIVOTS, POOL, 0.8, centre)
+    if not len(pivots):  # all vectors are equal
+        pivots = np.ones((1, len(centre)))
     # copies have the same score, so of each vector those that come first among ties are enough; one may be the query itself
     copy = F.row_number().over(Window.partitionBy("vec").orderBy(F.asc_nulls_last("id"), "row"))
     candidates = table.withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy")
-    posted = materialize(_ranked(candidates, pivots, _posts(candidates)), "postings")
-    asked = materialize(_ranked(queries, pivots, None).drop("band"), "probes")
+    posts, total = _posts(candidates, centre)
+    share = min(1.0, RERANK / math.sqrt(max(total, 1)))
+    posted = materialize(_ranked(candidates, pivots, centre, posts), "postings")
+    asked = materialize(_ranked(queries, pivots, centre, None).drop("band"), "probes")
     sizes = lambda df, by, most, name: df.groupBy(*by).agg(F.ceil(F.count("row") / most).cast("int").alias(name))
     cuts = sizes(posted, ["pivot", "band"], LIST_BLOCK, "lists").join(sizes(asked, ["pivot"], QUERY_BLOCK, "asks"), "pivot")  # PIVOTS + 1 rows a band at most
     block = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
@@ -119,7 +131,7 @@ def search(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if n and b.num_rows:
             x, width = matrix(a.column("vec")), len(a.column("ranks")[0].as_py())
             ranks = np.frombuffer(b"".join(a.column("ranks").to_pylist()), np.uint8).reshape(n, width)
-            most = n if a.column("pivot")[0].as_py() == EVERY else min(n, max(KEEP, int(np.ceil(RERANK * n))))
+            most = n if a.column("pivot")[0].as_py() == EVERY else int(math.ceil(share * n))
             for i, (row, vec, own) in enumerate(zip(b.column("row").to_pylist(), matrix(b.column("vec")), b.column("ranks").to_pylist(), strict=True)):
                 at = np.arange(n)
                 if most < n:

@@ -58,12 +58,38 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def spread_sample(table: DataFrame, wanted: int, pool: int, least_apart: float) -> np.ndarray:
-    """Up to `wanted` directions of at most `pool` rows (smallest hashes), none with cosine above `least_apart` to one taken before."""
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; rows of zeros stay."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.where(top > 0, top, 1.0)
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length > 0, length, 1.0)
+
+
+def mean(table: DataFrame) -> np.ndarray:
+    """Mean of all stored vectors; one sum leaves each task. A single zero for an empty table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                own = matrix(batch.column(0)).sum(axis=0)
+                total, rows = own if total is None else total + own, rows + batch.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([rows], pa.int64())], names=["total", "rows"])
+
+    sums = table.select("vec").mapInArrow(run, "total array<double>, rows long").select("rows", F.posexplode("total").alias("at", "x"))
+    got = sums.groupBy("at").agg((F.sum("x") / F.sum("rows")).alias("x")).orderBy("at").collect()
+    return np.array([r["x"] for r in got]) if got else np.zeros(1)
+
+
+def spread_sample(table: DataFrame, wanted: int, pool: int, least_apart: float, centre: np.ndarray | float = 0.0) -> np.ndarray:
+    """Up to `wanted` directions from `centre` of at most `pool` rows (smallest hashes), none with cosine above `least_apart` to one taken before."""
     got = table.select("vec", F.xxhash64("vec").alias("h")).distinct().orderBy("h").limit(pool).collect()
     if not got:
         return np.zeros((0, 1))
-    x = unit(np.frombuffer(b"".join(r["vec"] for r in got)).reshape(len(got), -1))
+    x = directions(np.frombuffer(b"".join(r["vec"] for r in got)).reshape(len(got), -1) - centre)
+    x = x[(x != 0).any(axis=1)]
     taken = np.zeros((0, x.shape[1]))
     for at in range(0, len(x), 512):
         block = x[at : at + 512]
