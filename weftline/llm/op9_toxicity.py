@@ -44,6 +44,8 @@ PROSE_BYTES = 12_288
 CACHE_WORDS = 1_000_000
 BEGIN = range(4, 13)
 LEAST_DOCS = 3
+#: Tasks that the bounded sample is spread over.
+PARTS = 12
 #: A word beginning is kept if its gain (binomial log likelihood ratio over groups of copies) is above what chance gives one
 #: of some 100,000.
 LEAST_GAIN = 13.0
@@ -87,7 +89,7 @@ def _contrast(sample: DataFrame, rows: dict[int, int]) -> dict[int, bytes]:
             some = grams[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *(pa.array([found[k][g] for g in some], pa.int64()) for k in (0, 1))], names=["gram", "n0", "n1"])
 
-    totals = sample.select("text", "label").mapInArrow(count, "gram binary, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
+    totals = sample.select("text", "label").mapInArrow(count, "gram binary, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).coalesce(PARTS).persist()
     share = rows[1] / (rows[0] + rows[1])
     seen, toxic = F.col("n0") + F.col("n1"), F.col("n1")
     part = lambda n, rate: F.when(n > 0, n * F.log(n / (seen * rate))).otherwise(0.0)
@@ -178,9 +180,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    sample = labelled_sample(docs, labels, label, rows, id_col, text_col).repartition(12, "order").persist()
+    sample = labelled_sample(docs, labels, label, rows, id_col, text_col).repartition(PARTS, "order").persist()
     seen = sample.filter(F.pmod("order", F.lit(4)) != 0)
-    seen = _one_of_copies(seen).persist()
+    seen = _one_of_copies(seen).coalesce(PARTS).persist()
     counts = {r["label"]: r["n"] for r in seen.groupBy((F.col("label") == 1).cast("int").alias("label")).agg(F.count("label").alias("n")).collect()}
     if len(counts) < 2:
         sample.unpersist()
