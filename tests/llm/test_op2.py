@@ -78,3 +78,47 @@ def test_prune_keeps_the_nearest():
     np.fill_diagonal(s, -1)
     assert (graph[:, 0] == s.argmax(axis=1)).all()
     assert (graph[:, -1] >= 0).all()
+
+
+def test_recall_over_many_shards(spark, monkeypatch):
+    """Pairs just above the threshold, some hundred shards: linked pairs must meet in one."""
+    monkeypatch.setattr(op2, "CLUSTER", 48)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.902, 0.92, (len(x), 1))
+    both = np.vstack([x, c * x + np.sqrt(1 - c * c) * z])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(both.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in op2.group(rows).collect()}
+    assert all(r.n_links <= 1 for r in got.values())
+    found = sum(got[i + 2500].component_id == i for i in range(2500))
+    print("recall", found / 2500)
+    assert found >= 0.98 * 2500
+
+
+def test_vectors_that_share_a_direction(spark, monkeypatch):
+    """All cosines above 0.8 and most below 0.9: still many centres, and all links."""
+    monkeypatch.setattr(op2, "CLUSTER", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 64))
+    x[:, 0] += 20.0
+    near = x[:60] + 0.5 * rng.normal(size=(60, 64))
+    data = [(i, v) for i, v in enumerate(np.float32(np.vstack([x, near])).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("node", op2.F.lit(1)).withColumn("vec", op2.F.lit("x"))
+    got = op2.group(df).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(data)))
+
+
+def test_bounded_waves(monkeypatch):
+    monkeypatch.setattr(op2, "WAVE", 5_000)
+    rng = np.random.default_rng(9)
+    x = op2.unit(np.vstack([rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(700, 16)), rng.normal(size=(300, 16))]))
+    g = op2.build(x)
+    graph = op2.two_way(np.repeat(np.arange(len(x)), (g >= 0).sum(axis=1)), g[g >= 0], len(x))
+    got = [pair for q, m in op2.search(x, graph, 0, np.arange(len(x)), 0.9) for pair in zip(q.tolist(), m.tolist(), strict=True)]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
