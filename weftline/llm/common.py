@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows handled at once inside a Python worker; bounds the memory of a task whatever Arrow's own batch size is.
@@ -116,28 +116,30 @@ def int_lists(flat: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
-def map_arrow(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def sample_texts(df: DataFrame, by: str, text_col: str, counts: dict, rows: int, room: int) -> dict[object, list[str]]:
+    """Up to `rows` distinct texts of each value of `by`, those with the smallest hashes, in that order; of a text at most its first `room` characters.
 
-
-def sample_pieces(df: DataFrame, by: str, id_col: str, text_col: str, counts: dict, rows: int, chars: int) -> dict[object, list[str]]:
-    """Middle pieces of `chars` characters from up to `rows` texts of each value of `by`, those with the smallest id hash.
-
-    `counts` has each value's rows, so a hash threshold leaves about four times what is wanted; what reaches the driver
-    is bounded by that, whatever the size of `df`.
+    `counts` has each value's rows: a hash threshold leaves some of each value's texts, equal ones are one by then, and
+    only the `rows` smallest of each value go on, so what reaches the driver is bounded whatever the size of `df` and
+    however often a text or an id is repeated. Where few distinct texts are below the threshold, all are looked at.
     """
-    share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    limit = None
-    for value, n in counts.items():
-        bound = F.lit(min(1.0, 4.0 * rows / max(n, 1)))
-        limit = F.when(F.col(by) == F.lit(value), bound) if limit is None else limit.when(F.col(by) == F.lit(value), bound)
-    if limit is None:
+    if not counts:
         return {}
-    first = F.greatest(F.lit(1), ((F.length(text_col) - F.lit(chars)) / 2).cast("int") + 1)
-    got = df.filter(share <= limit).select(F.col(by).alias("k"), share.alias("h"), F.col(id_col).alias("id"), F.substring(F.col(text_col), first, F.lit(chars)).alias("t")).collect()
+    hashed = df.select(F.col(by).alias("k"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    share = F.pmod("h", F.lit(1 << 31)) / F.lit(float(1 << 31))
+    bounds = F.create_map(*(F.lit(x) for value, n in counts.items() for x in (value, min(1.0, 4.0 * rows / max(n, 1)))))
     out: dict[object, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r["h"], str(r["id"]), r["t"] or "")):
-        kept = out.setdefault(r["k"], [])
-        if r["t"] and len(kept) < rows:
-            kept.append(r["t"])
+
+    def take(table: DataFrame) -> None:
+        place = F.row_number().over(Window.partitionBy("k").orderBy("h"))
+        chosen = table.groupBy("k", "h").agg(F.min(F.substring("t", 1, room)).alias("t")).withColumn("place", place).filter(F.col("place") <= rows)
+        for r in sorted(chosen.collect(), key=lambda r: r["place"]):
+            out.setdefault(r["k"], []).append(r["t"])
+
+    take(hashed.filter(share <= bounds[F.col("k")]))
+    few = [v for v, n in counts.items() if len(out.get(v, [])) < min(rows, n) and 4.0 * rows < n]
+    if few:  # mostly copies: their distinct texts are fewer than their rows let expect
+        for v in few:
+            out.pop(v, None)
+        take(hashed.filter(F.col("k").isin(few)))
     return out

@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             stats = statistics(part.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in stats]), part.column(1), part.column(2)], names=["stats", "label", "order"])
 
-    sample = labelled_sample(docs, labels, label, rows, id_col, text_col)
-    known = sample.select("text", "label", "order").mapInArrow(run, "stats binary, label int, order long").repartition(PARTS, "order").persist()
+    sample = labelled_sample(docs, labels, label, rows, id_col, text_col).repartition(PARTS, "order")
+    known = sample.select("text", "label", "order").mapInArrow(run, "stats binary, label int, order long").persist()
     got = known.select("stats").collect()
     if not got:
         return Model(np.zeros(N_STATS), np.ones(N_STATS))
