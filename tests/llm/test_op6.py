@@ -100,3 +100,59 @@ def test_cost_decides_for_values_of_one_class():
         assert op6.guess_spans(text) == [("guess", at, at + len(value))], text
     for text in ("the key is understanding", "pwd: aaaaaaaaaaaaaaaa", "passphrase: correcthorsemoon", "pwd=20240131"):
         assert op6.guess_spans(text) == [], text
+
+
+def brute_cost(value):
+    """The cheapest of all segmentations, piece costs written down from their definition."""
+    import functools
+    import math
+
+    low = value.lower()
+    plain = low.translate(op6.LEET)
+
+    def piece(a, b):
+        x, n = low[a:b], b - a
+        costs = [math.inf]
+        if n == 1:
+            c = value[a]
+            costs.append(1.0 if c.isdigit() else math.log10(26 if c.isascii() and c.isalpha() else 33))
+        for word, more in ((x, 0.0), (plain[a:b], 0.3)):
+            if word in op6.WORD_COST:
+                costs.append(op6.WORD_COST[word] + more + 0.5 + (0.3 if value[a:b] != x else 0.0))
+        if any(d.fullmatch(value[a:b]) for d in op6.DATES):
+            costs.append(math.log10(365 * 120) if n > 4 else math.log10(120))
+        spots = [op6.SPOT.get(c) for c in x]
+        if n >= 4 and all(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 for p, q in zip(spots, spots[1:])):
+            ways = [(q[0] - p[0], q[1] - p[1]) for p, q in zip(spots, spots[1:])]
+            costs.append(math.log10(47) + 0.6 * (1 + sum(v != w for v, w in zip(ways, ways[1:]))) + math.log10(n))
+        if n >= 3 and x.isalnum() and len({ord(d) - ord(c) for c, d in zip(x, x[1:])}) == 1 and abs(ord(x[1]) - ord(x[0])) == 1:
+            costs.append(math.log10(52) + math.log10(n))
+        for w in range(1, n // 2 + 1):
+            if n % w == 0 and n >= 3 and value[a : a + w] * (n // w) == value[a:b]:
+                costs.append(sum(piece(a + k, a + k + 1) if not low[a + k : a + k + 1] in op6.WORD_COST else op6._char_cost(value[a + k]) for k in range(w)) + math.log10(n // w))
+        return min(costs)
+
+    @functools.cache
+    def best(a):
+        return 0.0 if a == len(value) else min(piece(a, b) + best(b) for b in range(a + 1, len(value) + 1))
+
+    return best(0)
+
+
+def test_guess_cost_is_the_minimum_over_all_segmentations():
+    rng = random.Random(11)
+    parts = ["password", "P4ssw0rd", "monkey", "qwerty", "zxcvfdsa", "asdf", "abcdef", "98765", "2019", "20190412", "04/12/1999", "aaa", "abab", "xyzxyzxyz", "longunit99" * 2, "!", "Q", "7", "kz", "the", "To", "_-", "é"]
+    for _ in range(400):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
+        value = value[rng.randrange(3) :][:26]
+        assert abs(op6.guess_cost(value) - brute_cost(value)) < 1e-9, value
+
+
+def test_very_long_values_in_time():
+    import time
+
+    rng = random.Random(2)
+    for value in ("a" * 100_000, "qw" * 50_000, "".join(rng.choice("abcdefgh0123") for _ in range(100_000))):
+        start = time.time()
+        op6.guess_cost(value)
+        assert time.time() - start < 60

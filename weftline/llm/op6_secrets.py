@@ -7,7 +7,8 @@ runs and brute-force spans, by dynamic programming; costs are log10 of guesses a
 on in plain words, values of one character class only (such as lower-case letters) are left out whatever they cost.
 
 Spans are code points of the whole text, end exclusive. Null and empty texts have no spans. Rows are judged one by one,
-so repeated rows and null ids just pass through; other columns are not carried. A narrow map without any shuffle: cheap
+so repeated rows and null ids just pass through; an empty table gives an empty result; very long texts and values are
+judged whole; other columns are not carried, so clashing names can't arise. A narrow map without any shuffle: cheap
 tests (substrings; runs of hex digits over all bytes of a batch, cut at row ends) leave the patterns to the few texts that can match.
 """
 
@@ -41,7 +42,9 @@ LONGEST_WORD = max(map(len, COMMON))
 ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
 SPOT = {c: (x, y) for y, row in enumerate(ROWS) for x, c in enumerate(row) if c != " "}
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
-DATE = re.compile(r"(?a)(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
+DATES = tuple(re.compile(p) for p in (r"(?a)(?:19|20)\d\d", r"(?a)(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])", r"(?a)(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d"))
+#: Longest unit of a repeat, and longest piece that may stop anywhere.
+LONGEST_PIECE = 64
 
 
 def _near(a: str, b: str) -> bool:
@@ -55,70 +58,95 @@ def _char_cost(c: str) -> float:
     return math.log10(26) if "a" <= c <= "z" or "A" <= c <= "Z" else math.log10(33)
 
 
+def _stops(start: int, least: int, most: int) -> Iterator[int]:
+    """Ends of a piece from `start`: all lengths from `least` to LONGEST_PIECE, and as far as it goes."""
+    yield from range(start + least, min(most, start + LONGEST_PIECE) + 1)
+    if most > start + LONGEST_PIECE:
+        yield most
+
+
+def _dates(value: str) -> dict[int, list[int]]:
+    """Where dates that begin at a place end, shorter ones included."""
+    out: dict[int, list[int]] = {}
+    for i in range(len(value)):
+        if "0" <= value[i] <= "9":
+            found = {m.end() for form in DATES if (m := form.match(value, i))}
+            if found:
+                out[i] = sorted(found)
+    return out
+
+
+def _repeats(value: str) -> dict[int, list[tuple[int, int]]]:
+    """By place the widths up to LONGEST_PIECE of units that are repeated there, and how often; units that repeat a shorter unit themselves are left out."""
+    points = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    out: dict[int, list[tuple[int, int]]] = {}
+    for width in range(1, min(LONGEST_PIECE, len(value) // 2) + 1):
+        same = np.append(points[:-width] == points[width:], False)
+        ends = np.flatnonzero(~same)
+        run = ends[np.searchsorted(ends, np.arange(len(same)))] - np.arange(len(same))  # how far each character equals the one `width` later
+        for i in np.flatnonzero(run >= width).tolist():
+            have = out.setdefault(i, [])
+            if not any(width % w == 0 and t * w >= width for w, t in have):
+                have.append((width, 1 + int(run[i]) // width))
+    return out
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of `value` needs; 0 for the empty value."""
+    """log10 of the guesses that the cheapest segmentation of `value` needs; 0 for the empty value.
+
+    Pieces and their costs: a character by brute force (its class); a common word (its rank, 0.5 for taking a word, 0.3 each
+    for capitals and for look-alike digits); a date; a walk of 4 or more neighbouring keys (its start, bends and length); a
+    run of 3 or more letters or digits in order (start and length); a unit repeated to 3 or more characters (the unit's
+    characters and log10 of the times). Walks, runs and repeats may stop anywhere up to LONGEST_PIECE characters, or go on as
+    far as they do.
+    """
     n = len(value)
     low = value.lower()
     low = low if len(low) == n else value
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        m = DATE.match(value, i)
-        if m:
-            dates.setdefault(i, []).append(m.end())
-    # run ends: walk[i] / step[i] is where the keyboard walk / the alphabet or digit run from i stops
+    dates, repeats = _dates(value), _repeats(value)
+    # walk[i] / step[i] is where the keyboard walk / the alphabet or digit run from i stops
     walk, step = list(range(1, n + 1)), list(range(1, n + 1))
     for i in range(n - 2, -1, -1):
         if _near(low[i], low[i + 1]):
             walk[i] = walk[i + 1]
         d = ord(low[i + 1]) - ord(low[i])
         if abs(d) == 1 and low[i].isalnum() and low[i + 1].isalnum():
-            same = i + 2 < n and ord(low[i + 2]) - ord(low[i + 1]) == d
+            same = i + 2 < n and low[i + 2].isalnum() and ord(low[i + 2]) - ord(low[i + 1]) == d
             step[i] = step[i + 1] if same else i + 2
     turns = [0] * (n + 1)  # direction changes of the walk up to each position
     for i in range(1, n - 1):
         turns[i + 1] = turns[i] + (walk[i - 1] > i + 1 and _turn(low, i))
-    # runs[w][i]: how far from i on each character equals the one w places later
-    runs = []
-    for width in range(1, 9):
-        run = [0] * (n + 1)
-        for i in range(n - width - 1, -1, -1):
-            if value[i] == value[i + width]:
-                run[i] = run[i + 1] + 1
-        runs.append(run)
     chars = [0.0]
     for c in value:
         chars.append(chars[-1] + _char_cost(c))
     for i in range(n):
         base = best[i]
-        if base == math.inf:
-            continue
 
         def offer(stop: int, cost: float, base: float = base) -> None:
             if base + cost < best[stop]:
                 best[stop] = base + cost
 
         offer(i + 1, _char_cost(value[i]))
-        for stop in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        for stop in range(i + 2, min(n, i + LONGEST_WORD) + 1):
             word = low[i:stop]
             cost = WORD_COST.get(word)
             if cost is None and plain[i:stop] != word and plain[i:stop] in WORD_COST:
                 cost = WORD_COST[plain[i:stop]] + 0.3
             if cost is not None:
-                upper = value[i:stop] != word
-                offer(stop, cost + (0.3 if upper else 0.0) + 0.5)
+                offer(stop, cost + (0.3 if value[i:stop] != word else 0.0) + 0.5)
         for stop in dates.get(i, ()):
             offer(stop, math.log10(365.0 * 120) if stop - i > 4 else math.log10(120.0))
-        if walk[i] - i >= 4:
-            bends = turns[walk[i] - 1] - turns[i + 1]
-            offer(walk[i], math.log10(47.0) + 0.6 * (bends + 1) + math.log10(walk[i] - i))
-        if step[i] - i >= 3:
-            offer(step[i], math.log10(52.0) + math.log10(step[i] - i))
-        for width, run in enumerate(runs, 1):
-            times = 1 + run[i] // width
-            if times > 1 and times * width >= 3:
-                offer(i + times * width, chars[i + width] - chars[i] + math.log10(times))
+        for stop in _stops(i, 4, walk[i]):
+            offer(stop, math.log10(47.0) + 0.6 * (turns[stop - 1] - turns[i + 1] + 1) + math.log10(stop - i))
+        for stop in _stops(i, 3, step[i]):
+            offer(stop, math.log10(52.0) + math.log10(stop - i))
+        for width, most in repeats.get(i, ()):
+            unit = chars[i + width] - chars[i]
+            for times in {*range(2, min(most, max(2, LONGEST_PIECE // width)) + 1), most}:
+                if times * width >= 3:
+                    offer(i + times * width, unit + math.log10(times))
     return best[n]
 
 
