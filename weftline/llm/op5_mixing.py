@@ -75,7 +75,8 @@ def position(before: Column, target: Column, slope: Column) -> Column:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, slopes=SLOPES, budget: float = BUDGET, repeat: int = REPEAT) -> DataFrame:
     """Per row: id, `source`, `size`, `source_size`, `target`, `taken` (words, repeats counted), `position` (of the first copy), `before` and `slope`."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    text = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))  # null and repeated ids spread by their texts
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).cast("binary"))
     sized = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), digest.alias("digest")), "mix-sizes")
     sized = sized.withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
     buckets = materialize(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
@@ -104,7 +105,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS digest FROM documents),
 per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 AS turn FROM sized GROUP BY source),
 weighed AS (
