@@ -10,10 +10,24 @@ from weftline.functions import similarity as S
 CHANGED = 1e-6
 
 
+def _tensors(model: DataFrame, side: str) -> DataFrame:
+    """Values, and shape and dtype where the model has them, named after the side."""
+    return model.select("name", F.col("values").alias(f"v{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("shape", "dtype") if c in model.columns))
+
+
+def compatible(a: DataFrame, b: DataFrame) -> Column:
+    """Over a join of `_tensors`: equal lengths, and equal shapes and dtypes where both models state them."""
+    out = F.size("va") == F.size("vb")
+    for c in ("shape", "dtype"):
+        if c in a.columns and c in b.columns:
+            out &= F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
+    return out
+
+
 def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row per layer name: where it is, similarities, and statistics of b - a. Layers of different length have similarity 0."""
-    joined = a.select("name", F.col("values").alias("va")).join(b.select("name", F.col("values").alias("vb")), "name", "full_outer")
-    where = F.when(F.col("vb").isNull(), "only_a").when(F.col("va").isNull(), "only_b").when(F.size("va") != F.size("vb"), "mismatch").otherwise("both")
+    joined = _tensors(a, "a").join(_tensors(b, "b"), "name", "full_outer")
+    where = F.when(F.col("vb").isNull(), "only_a").when(F.col("va").isNull(), "only_b").when(~compatible(a, b), "mismatch").otherwise("both")
     joined = joined.withColumn("status", where)
     both = F.col("status") == "both"
     delta = F.when(both, F.zip_with("vb", "va", lambda y, x: y - x))
@@ -31,6 +45,7 @@ def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
         S.total(F.transform("delta", F.abs)).__truediv__(n).alias("mean_abs_delta"),
         F.array_max(F.transform("delta", F.abs)).alias("max_abs_delta"),
         F.sqrt(square).alias("rmse"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_delta"),
         F.size(F.filter("delta", lambda d: F.abs(d) > CHANGED)).cast("long").alias("changed"),
         F.when(both, n).cast("long").alias("params"),
     )
@@ -82,6 +97,44 @@ def diff_values(a: DataFrame, b: DataFrame, absolute: float = 1e-7) -> DataFrame
     return pair.select("name", state.alias("state"), F.when(state == "changed", cos).alias("similarity"))
 
 
+def diff_parameters(saved: DataFrame, current: DataFrame, absolute: float = 1e-6, relative: float = 1e-5) -> DataFrame:
+    """`name, state` of a checkpoint against a model: identical (allclose), modified, shape_mismatch, saved_only, model_only; with the largest difference."""
+    pair = saved.select("name", F.col("values").alias("va")).join(current.select("name", F.col("values").alias("vb")), "name", "full_outer")
+    state = F.when(F.col("va").isNull(), "model_only").when(F.col("vb").isNull(), "saved_only").when(F.size("va") != F.size("vb"), "shape_mismatch")
+    state = state.when(S.allclose(F.col("va"), F.col("vb"), absolute, relative), "identical").otherwise("modified")
+    largest = F.when(F.size("va") == F.size("vb"), F.array_max(F.zip_with("va", "vb", lambda x, y: F.abs(x - y))))
+    return pair.select("name", state.alias("state"), largest.alias("largest"))
+
+
+def within(saved: DataFrame, current: DataFrame, tolerance: float) -> DataFrame:
+    """As `diff_parameters`, but identical means that no element differs by more than `tolerance`."""
+    return diff_parameters(saved, current, tolerance, 0.0)
+
+
+def bucketed(a: DataFrame, b: DataFrame, threshold: float = 0.99, tolerance: float = 0.1) -> DataFrame:
+    """`name, bucket, score` of common layers: identical values, similar (direction and magnitude), or different; with the hybrid score."""
+    pair = a.select("name", F.col("values").alias("va")).join(b.select("name", F.col("values").alias("vb")), "name")
+    pair = pair.withColumns({"cos": S.cosine(F.col("va"), F.col("vb")), "mag": S.magnitude(F.col("va"), F.col("vb"))})
+    close = (F.size("va") == F.size("vb")) & (F.col("cos") >= threshold) & (F.col("mag") >= 1.0 - tolerance)
+    bucket = F.when(F.col("va") == F.col("vb"), "identical").when(close, "similar").otherwise("different")
+    return pair.select("name", bucket.alias("bucket"), F.when(F.size("va") == F.size("vb"), S.hybrid(F.col("cos"), F.col("mag"))).otherwise(0.0).alias("score"))
+
+
+def reusable_share(buckets: DataFrame) -> DataFrame:
+    """Layers per bucket and the share in percent that needn't be transferred; null without common layers."""
+    count = lambda k: F.count_if(F.col("bucket") == k)
+    out = buckets.agg(count("identical").alias("identical"), count("similar").alias("similar"), count("different").alias("different"))
+    total = F.col("identical") + F.col("similar") + F.col("different")
+    return out.withColumn("percent", F.when(total > 0, (F.col("identical") + F.col("similar")) * 100.0 / total))
+
+
+def restored(model: DataFrame, saved: DataFrame) -> DataFrame:
+    """`name, values, source` of a model into which a checkpoint is loaded: saved values where there are any of the same length, else its own."""
+    pair = model.select("name", F.col("values").alias("own")).join(saved.select("name", F.col("values").alias("s")), "name", "left")
+    use = F.col("s").isNotNull() & (F.size("s") == F.size("own"))
+    return pair.select("name", F.when(use, F.col("s")).otherwise(F.col("own")).alias("values"), F.when(use, "saved").otherwise("model").alias("source"))
+
+
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Manifest diff: `name, state` of everything added, removed or modified between `name, hash` tables."""
     pair = old.select("name", F.col("hash").alias("h0")).join(new.select("name", F.col("hash").alias("h1")), "name", "full_outer")

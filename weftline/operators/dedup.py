@@ -184,6 +184,59 @@ def assign(names: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("name", "kind", F.when(similar, F.col("ref")).otherwise(F.col("name")).alias("ref"), F.when(similar, F.col("score")).alias("score"))
 
 
+def assign_all(model: DataFrame, pairs_of=similar_pairs) -> DataFrame:
+    """`name, kind, ref, score` with exact copies: equal tensors are compared once, by their first name.
+
+    Later copies of a unique tensor are its duplicates; copies of a similar one are similar to the same reference.
+    """
+    copies = model.filter("values is not null").groupBy("values").agg(F.min("name").alias("first"))
+    firsts = cut(copies.select(F.col("first").alias("name"), "values"))
+    decided = cut(assign(firsts.select("name"), pairs_of(firsts)).withColumnRenamed("name", "first"))
+    # a name finds its first by the tensor's digest, so no array is a join key
+    digest = F.sha2(F.to_json(F.struct("values")).cast("binary"), 256)
+    named = model.select("name", digest.alias("h")).join(firsts.select(F.col("name").alias("first"), digest.alias("h")), "h", "left").drop("h")
+    out = named.join(decided, "first", "left")
+    kind = F.when(F.col("kind").isNull(), "unique").when((F.col("kind") == "unique") & (F.col("name") != F.col("first")), "duplicate").otherwise(F.col("kind"))
+    return out.select("name", kind.alias("kind"), F.coalesce("ref", "name").alias("ref"), "score")
+
+
+def best_reference(model: DataFrame, references: DataFrame, threshold: float = 0.98, tolerance: float = 0.1) -> DataFrame:
+    """`name, ref, score`: of stated references the best that each tensor is similar to, the smallest name among equals."""
+    both = model.select(F.struct(F.lit(1).alias("side"), F.col("name")).alias("name"), "values").unionByName(references.select(F.struct(F.lit(0).alias("side"), F.col("name")).alias("name"), "values"))
+    pairs = similar_pairs(both, threshold, tolerance).filter("a.side = 0 and b.side = 1")
+    return pairs.groupBy(F.col("b.name").alias("name")).agg(F.max_by(F.col("a.name"), F.struct("score", F.negate(F.col("a.name")))).alias("ref"), F.max("score").alias("score"))
+
+
+def group_of(assigned: DataFrame, names: DataFrame) -> DataFrame:
+    """`wanted, name, kind`: all members of each wanted name's group."""
+    refs = assigned.join(names.select(F.col("name").alias("wanted")), F.col("name") == F.col("wanted")).select("wanted", "ref")
+    return refs.join(assigned.select("ref", "name", "kind"), "ref").select("wanted", "name", "kind")
+
+
+def statistics(assigned: DataFrame, sizes: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
+    """Counts and bytes of an assignment: a similar tensor is charged its delta's bytes, or half its own without one."""
+    rows = assigned.join(sizes.select("name", "bytes"), "name")
+    rows = rows.withColumn("delta", F.lit(None).cast("long")) if deltas is None else rows.join(deltas.select("name", F.col("bytes").alias("delta")), "name", "left")
+    kind = lambda k: F.count_if(F.col("kind") == k)
+    held = F.when(F.col("kind") == "unique", F.col("bytes")).when(F.col("kind") == "similar", F.coalesce("delta", F.floor(F.col("bytes") / 2))).otherwise(0)
+    out = rows.agg(
+        F.count(F.lit(1)).alias("total"), kind("unique").alias("unique_tensors"), kind("duplicate").alias("duplicates"), kind("similar").alias("similars"), F.count("delta").alias("deltas"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("original_bytes"), F.coalesce(F.sum(held), F.lit(0)).alias("stored_bytes"),
+        F.coalesce(F.sum("delta"), F.lit(0)).alias("delta_bytes"), F.coalesce(F.sum(F.when(F.col("delta").isNotNull(), F.col("bytes"))), F.lit(0)).alias("delta_original"),
+    )
+    ratio = lambda a, b: F.when(F.col(b) > 0, 1.0 - F.col(a) / F.col(b)).otherwise(0.0)
+    return out.withColumns({"saved_share": ratio("stored_bytes", "original_bytes"), "delta_share": ratio("delta_bytes", "delta_original")})
+
+
+def group_savings(assigned: DataFrame, sizes: DataFrame, deltas: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Per reference: members and bytes saved; the largest `limit` groups if given."""
+    rows = assigned.join(sizes.select("name", "bytes"), "name")
+    rows = rows.withColumn("delta", F.lit(None).cast("long")) if deltas is None else rows.join(deltas.select("name", F.col("bytes").alias("delta")), "name", "left")
+    saved = F.when(F.col("kind") == "duplicate", F.col("bytes")).when(F.col("kind") == "similar", F.col("bytes") - F.coalesce("delta", F.floor(F.col("bytes") / 2))).otherwise(0)
+    out = rows.groupBy("ref").agg(F.count("name").alias("members"), F.sum(saved).cast("long").alias("saved")).filter("members > 1")
+    return out if limit is None else out.orderBy(F.desc("saved"), "ref").limit(limit)
+
+
 def index_stats(model: DataFrame) -> DataFrame:
     """Per length: vectors, buckets, mean and largest bucket."""
     sizes = buckets(model).groupBy("dim", "band", "slot").agg(F.count("name").alias("n"))

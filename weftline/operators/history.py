@@ -47,8 +47,45 @@ def common_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def log(edges: DataFrame, tips: DataFrame, most: int = 10) -> DataFrame:
-    """The first-parent chain of each tip, `most` commits at most."""
-    return _walk(edges.filter("place = 0"), tips, "child", "parent", most - 1)
+    """The first-parent chain of each tip, `most` commits at most, as `src, node, depth`.
+
+    By doubling: round k knows each commit's ancestor 2**k steps up, and a chain grows to twice its length, so rounds
+    grow with the logarithm of the depth.
+    """
+    jump = cut(edges.filter("place = 0").select(F.col("child").alias("from"), F.col("parent").alias("to")))
+    chain = tips.select("src", F.col("src").alias("node"), F.lit(0).alias("depth")).distinct()
+    step = 1
+    while step < most:
+        grown = cut(chain.join(jump, F.col("node") == F.col("from")).select("src", F.col("to").alias("node"), (F.col("depth") + step).alias("depth")).filter(F.col("depth") < most))
+        if grown.isEmpty():
+            break
+        chain = cut(chain.unionByName(grown))
+        step *= 2
+        if step < most:
+            jump = cut(jump.join(jump.select(F.col("from").alias("to"), F.col("to").alias("far")), "to").select("from", F.col("far").alias("to")))
+    return chain
+
+
+def kinds(commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """`commit, is_merge, is_root` by the number of parents."""
+    parents = edges.groupBy(F.col("child").alias("commit")).agg(F.count("parent").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return commits.select("commit").join(parents, "commit", "left").select("commit", (n > 1).alias("is_merge"), (n == 0).alias("is_root"))
+
+
+def path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`a, b, step, node`: the commits on a shortest way from ancestor `a` (step 0) down to `b`, the smallest ids among several."""
+    up = cut(_walk(edges, pairs.select(F.col("b").alias("src")).distinct(), "child", "parent"))
+    ends = pairs.join(up.select(F.col("src").alias("b"), F.col("node").alias("a"), F.col("depth").alias("length")), ["a", "b"])
+    front = cut(ends.select("a", "b", "length", F.lit(0).alias("step"), F.col("a").alias("node")))
+    out = front
+    while True:
+        down = front.filter("step < length").join(edges.select(F.col("parent").alias("node"), F.col("child").alias("next")), "node")
+        near = down.join(up.select(F.col("src").alias("b"), F.col("node").alias("next"), "depth"), ["b", "next"]).filter(F.col("depth") == F.col("length") - F.col("step") - 1)
+        front = cut(near.groupBy("a", "b", "length", (F.col("step") + 1).alias("step")).agg(F.min("next").alias("node")))
+        if front.isEmpty():
+            return out.select("a", "b", "step", "node")
+        out = out.unionByName(front)
 
 
 def path_length(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -91,5 +128,26 @@ def retained(events: DataFrame, last: int = 3, best: int = 2, every_epochs: int
     return rows.filter((F.col("newest") <= last) | (F.col("is_best") & (F.col("finest") <= best)) | (F.col("epoch") % every_epochs == 0) | (F.col("top") == 1))
 
 
+def recorded(events: DataFrame, every_steps: int = 50, every_epochs: int = 5) -> DataFrame:
+    """Events that are saved, with whether each is the best so far when it is saved: `run, seq, step, epoch, loss, is_best, best`."""
+    rows = should_save(events, every_steps, every_epochs).withColumn("best", F.min("loss").over(_ordered()))
+    return rows.filter("save").select("run", "seq", "step", "epoch", "loss", "is_best", "best")
+
+
+def listed(records: DataFrame, only_best: bool = False, metrics: bool = True) -> DataFrame:
+    rows = records.filter("is_best") if only_best else records
+    return rows if metrics else rows.drop("loss", "best")
+
+
+def chosen(records: DataFrame, wanted: DataFrame | None = None, best: bool = False) -> DataFrame:
+    """One record for each run: the best one (`best`), else the wanted `run, seq`, else the last."""
+    if best:
+        return records.groupBy("run").agg(F.min_by("seq", F.struct("loss", "seq")).alias("seq")).join(records, ["run", "seq"])
+    last = records.groupBy("run").agg(F.max("seq").alias("last"))
+    if wanted is not None:
+        last = last.join(wanted.select("run", F.col("seq").alias("asked")), "run", "left").select("run", F.coalesce("asked", "last").alias("last"))
+    return last.withColumnRenamed("last", "seq").join(records, ["run", "seq"])
+
+
 def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("run").agg(F.max("seq").alias("seq"), F.max_by("loss", "seq").alias("loss"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,73 @@ def ties(models: list[DataFrame], base: DataFrame, density: float = 0.5, elect:
     return _onto(base, agg.select(*KEY, mean.alias("d")), scale)
 
 
+def ties_counts(models: list[DataFrame], base: DataFrame, density: float = 0.5) -> DataFrame:
+    """`trimmed` values, and `conflicts`: elements for which kept values of both signs remain."""
+    x = F.col("x")
+    rows = trim(stacked([task_vectors(m, base) for m in models]), density, "model")
+    before = stacked([task_vectors(m, base) for m in models]).agg(F.count_if(x != 0).alias("n"))
+    cells = rows.groupBy(*KEY).agg(F.count_if(x > 0).alias("up"), F.count_if(x < 0).alias("down"))
+    out = cells.agg(F.sum(F.col("up") + F.col("down")).alias("kept"), F.count_if((F.col("up") > 0) & (F.col("down") > 0)).alias("conflicts"))
+    return out.crossJoin(F.broadcast(before)).select((F.col("n") - F.col("kept")).cast("long").alias("trimmed"), "conflicts")  # one row each
+
+
+def dare_ties(models: list[DataFrame], base: DataFrame, drop: float = 0.9, density: float = 0.5, seed: int = 42, elect: str = "total", scale: float = 1.0) -> DataFrame:
+    """Random dropping and rescaling of the task vectors, then sign election over what is left."""
+    rows = dare(stacked([task_vectors(m, base) for m in models]), drop, seed, "model")
+    thinned = [_onto(base, rows.filter(F.col("model") == i).select(*KEY, F.col("x").alias("d")), 1.0) for i in range(len(models))]
+    return ties(thinned, base, density, elect, scale)
+
+
+@dataclass(frozen=True)
+class SoupConfig:
+    method: str = "uniform"
+    weights: tuple[float, ...] | None = None
+    density: float = 0.5
+    elect: str = "total"
+    drop: float = 0.9
+    seed: int = 42
+    scale: float = 1.0
+
+    def __post_init__(self):
+        if self.method not in ("uniform", "weighted", "greedy", "ties", "dare_ties", "dare_linear", "task"):
+            raise ValueError(f"unknown method {self.method}")
+        if not 0 < self.density <= 1 or not 0 <= self.drop <= 1 or self.elect not in ("total", "frequency"):
+            raise ValueError("density must be in (0, 1], drop in [0, 1], elect total or frequency")
+
+
+def soup(models: list[DataFrame], config: SoupConfig = SoupConfig(), base: DataFrame | None = None, score=None) -> DataFrame:
+    """Merges models as the configuration says; a single model comes back as it is."""
+    if not models:
+        raise ValueError("no models")
+    if len(models) == 1:
+        return models[0].select(*KEY, "x")
+    if base is None and config.method in ("ties", "dare_ties", "dare_linear", "task"):
+        raise ValueError(f"{config.method} needs a base")
+    if config.method == "greedy":
+        if score is None:
+            raise ValueError("greedy needs a score")
+        return greedy_soup(models, score)[1]
+    if config.method == "weighted":
+        if not config.weights or len(config.weights) != len(models):
+            raise ValueError("as many weights as models are needed")
+        return weighted_soup(models, list(config.weights))
+    if config.method == "ties":
+        return ties(models, base, config.density, config.elect, config.scale)
+    if config.method == "dare_ties":
+        return dare_ties(models, base, config.drop, config.density, config.seed, config.elect, config.scale)
+    if config.method == "dare_linear":
+        return dare_linear(models, base, config.drop, config.seed)
+    return task_arithmetic(models, base, config.scale) if config.method == "task" else weighted_soup(models)
+
+
+def uniform_soup(models: list[DataFrame]) -> DataFrame:
+    return soup(models)
+
+
+def average(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    return interpolate(ours, theirs, 0.5)
+
+
 def chance(seed: int, *columns: str) -> Column:
     """A number in [0, 1) that only depends on seed and columns, so retried tasks draw the same."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 31)) / F.lit(float(1 << 31))

@@ -18,10 +18,13 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
+    from weftline.plans import extended  # noqa: F401  registers its own on import
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -52,7 +55,7 @@ def _pairs(spark, sf):
     return a.select("name", F.col("values").alias("va")).join(b.select("name", F.col("values").alias("vb")), "name")
 
 
-# --- comparing ---------------------------------------------------------------------------------------------------------
+# --- comparing
 
 _COMPARED = f"""
 WITH {V.MODELS_SQL},
@@ -115,7 +118,7 @@ def checkpoint_diff(spark, sf):
     return compare.diff_values(*_models(spark, sf)).select("name", "state", r6("similarity"))
 
 
-# --- manifests ---------------------------------------------------------------------------------------------------------
+# --- manifests
 
 _M = f"WITH {V.MANIFEST_SQL} "
 
@@ -156,7 +159,7 @@ def three_way_merge(spark, sf):
     return compare.three_way(*_manifests(spark, sf))
 
 
-@query(_M + "SELECT (SELECT count(DISTINCT hash) FROM m1 WHERE hash NOT IN (SELECT hash FROM m2)) AS ahead, (SELECT count(DISTINCT hash) FROM m2 WHERE hash NOT IN (SELECT hash FROM m1)) AS behind, (SELECT count(*) FROM (SELECT hash FROM m1 INTERSECT SELECT hash FROM m2)) AS synced, false AS is_synced")
+@query(_M + "SELECT (SELECT count(DISTINCT hash) FROM m1 WHERE hash NOT IN (SELECT hash FROM m2)) AS ahead, (SELECT count(DISTINCT hash) FROM m2 WHERE hash NOT IN (SELECT hash FROM m1)) AS behind, (SELECT count(*) FROM (SELECT hash FROM m1 INTERSECT SELECT hash FROM m2)) AS synced, NOT EXISTS (SELECT 1 FROM m1 WHERE hash NOT IN (SELECT hash FROM m2)) AND NOT EXISTS (SELECT 1 FROM m2 WHERE hash NOT IN (SELECT hash FROM m1)) AS is_synced")
 def sync_status(spark, sf):
     _, ours, theirs = _manifests(spark, sf)
     return store.sync_status(ours, theirs)
@@ -204,7 +207,7 @@ def estimated_memory(spark, sf):
     return stats.memory(V.base_model(spark, sf))
 
 
-# --- deduplication -----------------------------------------------------------------------------------------------------
+# --- deduplication
 
 _DUP = "WITH named AS (SELECT doc_id, sha256(text) AS hash, n_chars AS bytes FROM documents), refs AS (SELECT hash, min(doc_id) AS first, count(*) AS copies FROM named GROUP BY hash), asg AS (SELECT doc_id, first, CASE WHEN doc_id = first THEN 'unique' ELSE 'duplicate' END AS kind, bytes FROM named JOIN refs USING (hash)) "
 
@@ -241,12 +244,6 @@ def _library(spark, sf):
     return a.select("name", "values").unionByName(b.select((F.col("name") + 10_000_000).alias("name"), "values"))
 
 
-@query()
-def near_dedup(spark, sf):
-    library = _library(spark, sf)
-    return dedup.assign(library, dedup.similar_pairs(library)).select("name", "kind", "ref", r6("score"))
-
-
 @query()
 def lsh_candidates(spark, sf):
     return dedup.top_candidates(dedup.near_pairs(dedup.fingerprint(_library(spark, sf))))
@@ -264,7 +261,7 @@ def fingerprint_distance(spark, sf):
     return rows.select("o_orderkey", "distance", F.round(S.estimated_cosine(F.col("distance")), 6).alias("estimated"), F.shiftrightunsigned(a, 4).bitwiseAND(F.lit(65535)).alias("slot"))
 
 
-# --- merging -----------------------------------------------------------------------------------------------------------
+# --- merging
 
 _W = f"WITH {V.MODELS_SQL}"
 _TASK = _W + ", t AS (SELECT 0 AS model, f.name, f.pos, f.x - b.x AS x FROM fx f JOIN bx b USING (name, pos) UNION ALL SELECT 1, name, pos, (x * 0.5 + 0.01 * (pos % 3)) - x FROM bx)"
@@ -312,7 +309,7 @@ def dare_linear(spark, sf):
     return merge.dare_linear(models, base).select("name", "pos", r6("x"))
 
 
-# --- codecs ------------------------------------------------------------------------------------------------------------
+# --- codecs
 
 _P = _W + ", p AS (SELECT b.name, b.v AS va, f.v AS vb, list_transform(list_zip(f.v, b.v), lambda p: p[1] - p[2]) AS d FROM base b JOIN ft f ON b.name = f.name)"
 
@@ -323,17 +320,22 @@ def quantized_delta(spark, sf):
     return out.select("name", r6("low"), F.round("scale", 9).alias("scale"), F.round(S.total(F.col("codes").cast("array<double>")) / 64, 0).alias("mean_code"))
 
 
-@query(_P + "SELECT name, len(list_filter(d, lambda x: abs(x) > 1e-6))::BIGINT AS items, true AS restored FROM p")
+@query(_P + """, q AS (SELECT name, va, d, list_filter(range(len(d)), lambda i: abs(d[i + 1]) > 1e-6) AS pos FROM p)
+  SELECT name, len(pos)::BIGINT AS items, array_to_string(pos, ',') AS positions, array_to_string(list_transform(pos, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - pos[i - 1] END), ',') AS gaps,
+  round(list_sum(list_transform(va, lambda x, i: (x + CASE WHEN abs(d[i]) > 1e-6 THEN d[i] ELSE 0 END) * i)), 5) + 0.0 AS restored FROM q""")
 def sparse_delta(spark, sf):
     out = codec.from_gaps(codec.gaps(codec.from_sparse(codec.sparse(_pairs(spark, sf)))))
-    good = S.allclose(F.col("restored"), F.col("vb"), 2e-6) & (F.col("positions") == F.transform("items", lambda e: e["pos"]))
-    return out.select("name", F.size("items").cast("long").alias("items"), good.alias("restored"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    weighed = S.total(F.transform("restored", lambda x, i: x * (i + 1)))
+    return out.select("name", F.size("items").cast("long").alias("items"), text("positions").alias("positions"), text("gaps").alias("gaps"), (F.round(weighed, 5) + 0.0).alias("restored"))
 
 
-@query(_P + "SELECT name, true AS exact FROM p")
+@query(_P + "SELECT name, round(list_sum(list_transform(vb, lambda x, i: x::FLOAT::DOUBLE * i)), 5) + 0.0 AS restored, len(list_filter(list_zip(va, vb), lambda p: p[1]::FLOAT <> p[2]::FLOAT))::BIGINT AS changed FROM p")
 def xor_delta(spark, sf):
     out = codec.xor_decode(codec.xor_encode(_pairs(spark, sf)))
-    return out.select("name", (F.col("restored") == F.col("vb").cast("array<float>")).alias("exact"))
+    weighed = S.total(F.transform("restored", lambda x, i: x.cast("double") * (i + 1)))
+    changed = F.size(F.filter(F.zip_with("restored", F.col("va").cast("array<float>"), lambda x, y: x != y), lambda c: c)).cast("long")
+    return out.select("name", (F.round(weighed, 5) + 0.0).alias("restored"), changed.alias("changed"))
 
 
 @query()
@@ -359,12 +361,12 @@ def dictionary_values(spark, sf):
     return codec.dictionary(V.table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x")), 16)
 
 
-@query(_P + "SELECT name, 256::BIGINT AS bytes, (8 * len(list_filter(d, lambda x: abs(x) > 1e-6)) + 400)::BIGINT AS estimate, false AS ok FROM p")
+@query(_P + ", e AS (SELECT name, (4 * len(vb))::BIGINT AS bytes, (8 * len(list_filter(d, lambda x: abs(x) > 1e-6)) + 400)::BIGINT AS estimate FROM p) SELECT *, bytes >= 256 AND 1 - estimate / bytes::DOUBLE > -2.0 AS ok FROM e")
 def encodable(spark, sf):
-    return codec.encodable(_pairs(spark, sf)).select("name", "bytes", "estimate", "ok")
+    return codec.encodable(_pairs(spark, sf), "sparse", 256, -2.0).select("name", "bytes", "estimate", "ok")
 
 
-# --- element statistics ------------------------------------------------------------------------------------------------
+# --- element statistics
 
 
 @query(_W + "SELECT grp, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high, round(avg((x = 0)::INT), 6) AS sparsity FROM bx GROUP BY grp")
@@ -377,7 +379,7 @@ def weight_histogram(spark, sf):
     return stats.histogram(_cells(spark, sf)[0], "grp")
 
 
-# --- history -----------------------------------------------------------------------------------------------------------
+# --- history
 
 _R = f"WITH RECURSIVE {V.EDGES_SQL}, starts(src) AS (VALUES (1500::BIGINT), (1501), (747)), up AS (SELECT src, src AS node FROM starts UNION SELECT up.src, parent FROM up JOIN edges ON child = node)"
 
@@ -442,7 +444,7 @@ def latest_checkpoint(spark, sf):
     return history.latest(V.checkpoints(spark, sf))
 
 
-# --- identities and text -----------------------------------------------------------------------------------------------
+# --- identities and text
 
 
 @query("SELECT o_orderkey, left(sha256(o_orderkey::VARCHAR || ':' || o_custkey::VARCHAR), 16) AS version_id, left(sha256(o_orderkey::VARCHAR), 8) AS short FROM orders")
