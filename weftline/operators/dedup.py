@@ -178,7 +178,8 @@ def assign(names: DataFrame, pairs: DataFrame) -> DataFrame:
         if state.filter("kind is null").isEmpty():
             break
     refs = pairs.join(state.filter("kind = 'unique'").select(F.col("name").alias("a")), "a")
-    best = refs.groupBy(F.col("b").alias("name")).agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("ref"), F.max("score").alias("score"))
+    best = refs.groupBy(F.col("b").alias("name")).agg(F.max("score").alias("score"))
+    best = refs.join(best.withColumnRenamed("name", "b"), ["b", "score"]).groupBy(F.col("b").alias("name"), "score").agg(F.min("a").alias("ref"))
     out = state.join(best, "name", "left")
     similar = F.col("kind") == "similar"
     return out.select("name", "kind", F.when(similar, F.col("ref")).otherwise(F.col("name")).alias("ref"), F.when(similar, F.col("score")).alias("score"))
@@ -204,7 +205,7 @@ def best_reference(model: DataFrame, references: DataFrame, threshold: float = 0
     """`name, ref, score`: of stated references the best that each tensor is similar to, the smallest name among equals."""
     both = model.select(F.struct(F.lit(1).alias("side"), F.col("name")).alias("name"), "values").unionByName(references.select(F.struct(F.lit(0).alias("side"), F.col("name")).alias("name"), "values"))
     pairs = similar_pairs(both, threshold, tolerance).filter("a.side = 0 and b.side = 1")
-    return pairs.groupBy(F.col("b.name").alias("name")).agg(F.max_by(F.col("a.name"), F.struct("score", F.negate(F.col("a.name")))).alias("ref"), F.max("score").alias("score"))
+    return pairs.groupBy(F.col("b.name").alias("name")).agg(F.min_by(F.struct("score", F.col("a.name").alias("ref")), F.struct(F.negate("score"), F.col("a.name"))).alias("r")).select("name", "r.ref", "r.score")
 
 
 def group_of(assigned: DataFrame, names: DataFrame) -> DataFrame:

@@ -84,3 +84,51 @@ def content_hash(model: DataFrame) -> DataFrame:
         return pd.Series([xxhash.xxh3_64_hexdigest(str(tuple(int(n) for n in s)).encode() + t.encode() + np.asarray(v, t).tobytes()) for s, t, v in zip(shape, dtype, values, strict=True)])
 
     return model.withColumn("hash", digest("shape", "dtype", "values"))
+
+
+def publish(model: DataFrame, target: str, kind: str = "npz", metadata: dict | None = None) -> list[str]:
+    """Writes a model's tensors to a folder, one file (npz) or one per task (safetensors), with metadata beside; paths of what was written.
+
+    npz is written by the driver tensor by tensor and is for models that fit a disk; safetensors parts are written by the
+    tasks that hold them, each under a name of its own, so a task that is run again writes its file again.
+    """
+    from pathlib import Path
+
+    if kind not in ("npz", "safetensors"):
+        raise ValueError(f"unknown format {kind}")
+    folder = Path(target)
+    folder.mkdir(parents=True, exist_ok=True)
+    if kind == "npz":
+        import zipfile
+
+        path = folder / "model.npz"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for row in model.select("name", "values").toLocalIterator():
+                with out.open(f"{row['name']}.npy", "w", force_zip64=True) as item:
+                    np.lib.format.write_array(item, np.asarray(row["values"], np.float32))
+        written = [str(path)]
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            rows = {n: np.asarray(v, np.float32) for b in batches for n, v in zip(map(str, b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True)}
+            if rows:
+                path = folder / f"part-{TaskContext.get().partitionId():05d}.safetensors"
+                half = path.with_suffix(f".{TaskContext.get().taskAttemptId()}")
+                half.write_bytes(safetensors_bytes(rows))
+                half.replace(path)
+                yield pa.RecordBatch.from_arrays([pa.array([str(path)])], names=["path"])
+
+        written = sorted(r["path"] for r in model.select("name", "values").mapInArrow(run, "path string").collect())
+    (folder / "metadata.json").write_text(json.dumps({"format": kind, **(metadata or {})}, sort_keys=True))
+    return [*written, str(folder / "metadata.json")]
+
+
+def safetensors_bytes(rows: dict[str, np.ndarray]) -> bytes:
+    header, at = {}, 0
+    for name, x in rows.items():
+        header[name] = {"dtype": "F32", "shape": list(x.shape), "data_offsets": [at, at + x.nbytes]}
+        at += x.nbytes
+    text = json.dumps(header).encode()
+    return len(text).to_bytes(8, "little") + text + b"".join(x.astype("<f4").tobytes() for x in rows.values())
