@@ -43,12 +43,14 @@ def held_out(id_col: str, buckets: int, remainder: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only for local sessions that name none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
