@@ -32,6 +32,12 @@ def cosine(a: Column, b: Column) -> Column:
     return _ratio(na, nb, dot(a, b) / (na * nb))
 
 
+def cosine_of_elements(x: Column, y: Column) -> Column:
+    """Aggregate: cosine of two tensors given as rows of elements; one pass, partial sums per task."""
+    nx, ny = F.sqrt(F.sum(x * x)), F.sqrt(F.sum(y * y))
+    return _ratio(nx, ny, F.sum(x * y) / (nx * ny))
+
+
 def magnitude(a: Column, b: Column) -> Column:
     na, nb = norm(a), norm(b)
     return _ratio(na, nb, F.least(na, nb) / F.greatest(na, nb))

@@ -1,4 +1,4 @@
-"""Where lineage is cut: the folder that the cluster names in spark.checkpoint.dir, a temporary one only where it names none."""
+"""Where lineage is cut: the folder that the cluster names in spark.checkpoint.dir, a temporary one only for local sessions that name none."""
 
 from __future__ import annotations
 
@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_folder(spark: SparkSession) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-ck-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="weftline-ck-")
+    spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
