@@ -49,3 +49,13 @@ def test_edge_rows(spark):
     none = op1.fit(docs.limit(0), labels.limit(0))
     assert {r.score for r in op1.score(docs, none).collect()} == {0.5}
     assert op1.score(docs.limit(0), none).count() == 0
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """An id that is repeated many times, with equal and with other texts, counts once."""
+    from weftline.llm.fit import labelled_sample
+
+    docs = spark.range(3_000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "concat('text ', cast(id % 50 as string)) as text")
+    labels = spark.range(3_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    rows = labelled_sample(docs, labels, "quality", 200).collect()
+    assert 100 < len(rows) <= 200 and len({r.id for r in rows}) == len(rows)

@@ -15,15 +15,15 @@ SAMPLE_ROWS = 20_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, text, label` of up to `rows` labelled rows outside the held-out fold, those with the smallest hash of id and label.
 
-    The side that is broadcast has `rows` rows of three numbers at most, and of repeated rows (same id, text and label) one
-    is taken, then `rows` in all. Null ids, null labels and null texts are left out.
+    The side that is broadcast has `rows` rows of three numbers at most, and of an id that is repeated one text is taken
+    (that with the smallest hash), so there are `rows` rows at most. Null ids, null labels and null texts are left out.
     """
     usable = labels.filter(~held_out(id_col, 4, 2) & F.col(label).isNotNull() & F.col(id_col).isNotNull())
     chosen = usable.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).distinct().withColumn("order", F.xxhash64("id", "label"))
     chosen = chosen.orderBy("order", "id", "label").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    met = texts.join(F.broadcast(chosen), "id").select("id", "text", "label", "order").dropDuplicates(["id", "text", "label"])
-    return met.orderBy("order", F.xxhash64("text")).limit(rows)
+    met = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return met.select("id", "text", "label", "order")
 
 
 class Isotonic:
