@@ -153,6 +153,17 @@ def test_store_lookups_deletes_and_modes(spark, tmp_path):
     assert [r["intact"] for r in texts.load(hashed.select("hash"), "data", strict=False).collect()] == [False]
 
 
+def test_stores_by_url_and_copies(spark, tmp_path):
+    a, b = store.open_store(spark, f"file://{tmp_path}/a"), store.open_store(spark, str(tmp_path / "b"))
+    rows = spark.createDataFrame([("x", 1, 1), ("y", 2, 1), ("z", 3, 1)], "hash string, raw_bytes long, stored_bytes long")
+    a.add(rows)
+    assert store.copied(a, b, rows.filter("hash = 'x'")) == {"copied": 1, "skipped": 0}
+    assert store.copied(a, b) == {"copied": 2, "skipped": 1} and b.info().first()["raw_bytes"] == 6
+    assert store.open_store(spark, "s3://bucket/x").path == "s3a://bucket/x" and store.open_store(spark, "minio://h:9000/bucket/x").path == "s3a://bucket/x"
+    with pytest.raises(ValueError):
+        store.open_store(spark, "ftp://x")
+
+
 def test_indexes_against_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 32))

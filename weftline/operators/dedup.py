@@ -51,21 +51,28 @@ def planes(dim: int, bits: int = BITS, seed: int = 42) -> np.ndarray:
     return p / np.linalg.norm(p, axis=1, keepdims=True)
 
 
+def by_length(values: pd.Series, fn) -> list:
+    """`fn(matrix)` for the rows of each length at once, results in the rows' order; null rows give None."""
+    out: list = [None] * len(values)
+    groups: dict[int, list[int]] = {}
+    for i, v in enumerate(values):
+        if v is not None:
+            groups.setdefault(len(v), []).append(i)
+    for rows in groups.values():
+        for i, r in zip(rows, fn(np.stack([np.asarray(values.iloc[i], float) for i in rows])), strict=True):
+            out[i] = r
+    return out
+
+
 def fingerprint(model: DataFrame, bits: int = BITS, seed: int = 42) -> DataFrame:
     """Adds `fp`: the signs of `bits` seeded projections as one long; lengths have planes of their own."""
 
     @F.pandas_udf("long")
     def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[int, np.ndarray] = {}
         weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        signs = lambda x: ((x @ planes(x.shape[1], bits, seed).T > 0) * weight).sum(axis=1, dtype=np.uint64).view(np.int64)
         for values in batches:
-            out = np.zeros(len(values), np.uint64)
-            for i, v in enumerate(values):
-                v = np.asarray(v, float)
-                if len(v) not in known:
-                    known[len(v)] = planes(len(v), bits, seed)
-                out[i] = weight[known[len(v)] @ v > 0].sum(dtype=np.uint64)
-            yield pd.Series(out.view(np.int64))
+            yield pd.Series(by_length(values, signs))
 
     return model.withColumn("fp", project("values"))
 

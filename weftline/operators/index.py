@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.operators.dedup import planes
+from weftline.operators.dedup import by_length, planes
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -30,19 +30,6 @@ def unpacked(words: np.ndarray, bits: int) -> np.ndarray:
     return ((words.view(np.uint64)[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).reshape(len(words), -1)[:, :bits].astype(np.uint8)
 
 
-def by_length(values: pd.Series, fn) -> list:
-    """`fn(matrix)` for the rows of each length at once, results in the rows' order; null rows give None."""
-    out: list = [None] * len(values)
-    groups: dict[int, list[int]] = {}
-    for i, v in enumerate(values):
-        if v is not None:
-            groups.setdefault(len(v), []).append(i)
-    for rows in groups.values():
-        for i, r in zip(rows, fn(np.stack([np.asarray(values.iloc[i], float) for i in rows])), strict=True):
-            out[i] = r
-    return out
-
-
 def fingerprints(tensors: DataFrame, bits: int = 128, seed: int = 42, id_col: str = "name", values_col: str = "values") -> DataFrame:
     """`id, dim, fp`: signs of `bits` seeded projections, one matrix product for all rows of a length in a batch."""
 

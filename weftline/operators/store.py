@@ -122,6 +122,31 @@ class ObjectStore:
         return self.spark.createDataFrame([], "hash string, raw_bytes long, stored_bytes long") if rows is None else rows
 
 
+def open_store(spark: SparkSession, url: str, **more) -> ObjectStore:
+    """A store behind a URL: file:// or a plain path, s3:// through Spark's own s3a file system, minio://host:port/bucket/... likewise with its endpoint."""
+    kind, found, rest = url.partition("://")
+    if not found or kind == "file":
+        return ObjectStore(spark, url, **more)
+    if kind == "s3":
+        return ObjectStore(spark, f"s3a://{rest}", **more)
+    if kind == "minio":
+        host, _, path = rest.partition("/")
+        settings = spark._jsc.hadoopConfiguration()
+        bucket = path.partition("/")[0]
+        settings.set(f"fs.s3a.bucket.{bucket}.endpoint", f"http://{host}")
+        settings.set(f"fs.s3a.bucket.{bucket}.path.style.access", "true")
+        return ObjectStore(spark, f"s3a://{path}", **more)
+    raise ValueError(f"can't open {url}: known are file://, s3:// and minio://")
+
+
+def copied(source: ObjectStore, target: ObjectStore, hashes: DataFrame | None = None) -> dict[str, int]:
+    """Copies what the target lacks, of all objects or of the wanted ones; how many were copied and how many were there."""
+    rows = source._rows() if hashes is None else source.load(hashes)
+    total, missing = rows.select("hash").distinct().count(), absent(rows.select("hash"), target.read()).count()
+    target.add(rows)
+    return {"copied": missing, "skipped": total - missing}
+
+
 def present(hashes: DataFrame, have: DataFrame) -> DataFrame:
     """`hash, found` for each wanted hash."""
     flagged = have.select("hash").distinct().withColumn("found", F.lit(True))
