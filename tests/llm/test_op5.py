@@ -61,3 +61,12 @@ def test_position_inverts_demand(spark):
             before = 1000 * (u + slope * (u * u - u))
             got = spark.range(1).select(op5.position(op5.F.lit(before), op5.F.lit(1000.0), op5.F.lit(slope))).first()[0]
             assert got == pytest.approx(u, abs=1e-7)
+
+
+def test_very_long_texts_and_null_ids(spark):
+    rows = [(None, f"word{i} " * 3, "a") for i in range(50)] + [(1, "long " * 300_000, "a"), (2, "x", "b")]
+    got = op5.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.size for r in got if r.source == "a"} == {3, 300_000}
+    own = [r for r in got if r.source == "a"]
+    assert sum(r.taken for r in own) == pytest.approx(own[0].target, abs=0.5)
+    assert len({r.before for r in own}) == len(own)  # every row has a place of its own

@@ -6,7 +6,9 @@ over a bounded sample of labelled rows (`fit.SAMPLE_ROWS`), and pooled neighbour
 the sample that the ridge hasn't seen. Scoring is a narrow map over whole texts.
 
 Defined results: null and empty texts have zero statistics and are scored like any text; without usable labels every
-score is 0.5; repeated rows get the same score; a null id is held out. Other columns than id and text are not carried.
+score is 0.5; repeated rows get the same score; equal raw scores share one calibrated rate; very long texts are scored
+whole; a null id is held out; an empty table gives an empty result. Other columns than id and text are not carried, so
+clashing names can't arise (`keep` passes all columns through).
 """
 
 from __future__ import annotations

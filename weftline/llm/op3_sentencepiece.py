@@ -10,8 +10,9 @@ a bitfield holds those.
 Pieces hold the space mark only at their start, so texts are cut before each run of marks and around characters that no
 piece holds; each distinct part is encoded once per worker and kept in a bounded cache.
 
-Null and empty texts encode to the end id alone. Texts may be of any length. Other columns than id and text are not
-carried, so clashing names can't arise.
+Null and empty texts encode to the end id alone. Texts may be of any length. Rows are encoded one by one, so repeated
+rows get the same ids and null ids pass through; an empty table gives an empty result. Other columns than id and text are
+not carried, so clashing names can't arise.
 """
 
 from __future__ import annotations

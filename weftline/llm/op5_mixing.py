@@ -3,7 +3,7 @@
 Targets: sources share `budget` times all words by weight, and a source stops at `repeat` times its own words, the
 excess going to the others by weight until none is above. Training runs over u in [0, 1]. A source's weight changes
 linearly, weight * (1 + slope * (2u - 1)); integrated and scaled to its target this is the cumulative demand
-target * (u + slope * (u*u - u)). A source's documents stand in a fixed order of their id's digest and are read again
+target * (u + slope * (u*u - u)). A source's documents stand in a fixed order of a digest of id and text and are read again
 from the start where the target exceeds the source; the words before a document in that order are its place on the
 demand curve, and the inverse of the curve at that place is the document's training position. The result is
 range-sorted by position.
@@ -13,8 +13,8 @@ Whatever text holds, only ids, sources, sizes and digests are shuffled.
 
 Defined results: null text has size 0; the null source is a source of its own, sorted last; a source without words gets
 target 0 and takes nothing; documents without words take nothing; the last document that a target reaches is taken in
-part (its first words); repeated rows are separate documents; a null id is digested as the empty text; an empty table
-gives an empty result. Other columns than id, text and source are not carried, so clashing names can't arise.
+part (its first words); repeated rows are separate documents, ties in the order are equal rows; a null id is digested as
+the empty text; very long texts count whole and cost one pass; an empty table gives an empty result. Other columns than id, text and source are not carried, so clashing names can't arise.
 """
 
 from __future__ import annotations
