@@ -61,3 +61,24 @@ def test_nulls_extra_columns_empty(spark):
     got = sorted(map(tuple, op3.digests(op3.encode_decode(df, PATH)).select("doc_id", "n_tokens").collect()), key=str)
     assert got == [(1, 1), (1, 1), (None, 3)]
     assert op3.encode_decode(df.limit(0), PATH).count() == 0
+
+
+def test_short_parts_are_merged_together(library, monkeypatch):
+    rng = random.Random(8)
+    alphabets = ["etaoinsr", "abc", "éàüß語漢😀☃\x00", "0123456789abcdef+-=/", "\r\t;)}<s>"]
+    texts = [" ".join("".join(rng.choice(a) for _ in range(rng.randrange(0, 40))) + rng.choice(["", "\n", "▁", "  "]) for a in rng.choices(alphabets, k=30)) for _ in range(300)]
+    texts += ["", "x" * 5000, " ", "\n"]
+    walked = []
+    walk = op3.MergeCodec.tokens
+    monkeypatch.setattr(op3.MergeCodec, "tokens", lambda self, part: walked.append(part) or walk(self, part))
+    own = op3.MergeCodec(PATH)
+    own.prepare(texts)
+    assert not walked and len(own.marked) + len(own.plain) > 5_000
+    for text in texts:
+        ids, decoded = own.encode(text)
+        want = library.encode(text, add_eos=True)
+        assert ids.tolist() == want, text
+        assert decoded == library.decode(want), text
+    assert len(walked) < len(own.marked) / 10  # one walk a distinct word before; now only newlines and long parts
+    for cache in (own.marked, own.plain):
+        assert all(own.part(cache.prefix + word) == value for word, value in cache.items() if value)

@@ -10,6 +10,10 @@ a bitfield holds those.
 Pieces hold the space mark only at their start, so texts are cut before each run of marks and around characters that no
 piece holds; each distinct part is encoded once per worker and kept in a bounded cache.
 
+That takes a walk in Python per part, and most distinct words of a large corpus occur once. So the short parts that a slice
+of rows needs and the cache lacks are merged together instead, as the definition says, in arrays with a column per part:
+each round makes every part's best merge. Longer parts, for which merging would be quadratic, are walked as above.
+
 Null and empty texts encode to the end id alone. Texts may be of any length. Rows are encoded one by one, so repeated
 rows get the same ids and null ids pass through; an empty table gives an empty result. Other columns than id and text are
 not carried, so clashing names can't arise.
@@ -32,6 +36,113 @@ MARK = "▁"
 CACHE_PARTS = 400_000
 #: Longer parts are encoded each time they occur.
 CACHE_CHARS = 48
+#: Parts that are merged together; their arrays stay in a core's cache.
+MERGE_PARTS = 4_096
+
+
+class _Merges:
+    """Greedy merging of many short parts at once, a column of arrays each.
+
+    A symbol is a piece's id or, for a character that is no piece, PLAIN plus its code point. A merge is one number: rank
+    of the score, place in the part, piece; so the least of a column is its best merge, the leftmost among equals.
+    """
+
+    PLAIN = 1 << 20
+    NONE = PLAIN + 0x110000
+    SYMBOL_BITS, PLACE_BITS = 22, 6
+    NEVER = np.int64(np.iinfo(np.int64).max)
+
+    def __init__(self, ids: dict[str, int], score: dict[str, float]):
+        self.char = np.arange(self.PLAIN, self.NONE, dtype=np.int64)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = i
+        rank = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+        symbol = {**{c: self.PLAIN + ord(c) for piece in ids for c in piece}, **ids}
+        keys, values = [], []
+        for piece, i in ids.items():
+            for cut in range(1, len(piece)):
+                left, right = symbol.get(piece[:cut]), symbol.get(piece[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << self.SYMBOL_BITS | right)
+                    values.append(rank[score[piece]] << (self.SYMBOL_BITS + self.PLACE_BITS) | i)
+        self.bits = max(4, len(keys).bit_length() + 3)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, self.NEVER)
+        key, value = np.array(keys, np.int64), np.array(values, np.int64)
+        slot = self._slot(key)
+        while len(key):
+            slot, first = np.unique(slot, return_index=True)
+            free = self.keys[slot] < 0
+            self.keys[slot[free]], self.values[slot[free]] = key[first[free]], value[first[free]]
+            left = np.ones(len(key), np.bool_)
+            left[first[free]] = False
+            # all that wait go to the slot after the one they tried last
+            key, value = key[left], value[left]
+            slot = self._slot(key)
+            while len(key) and (taken := (self.keys[slot] >= 0)).any():
+                slot[taken] = (slot[taken] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge of each pair with place 0; NEVER without one."""
+        key = left << self.SYMBOL_BITS | right
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.values[slot], self.NEVER)
+        wait = np.flatnonzero((held != key) & (held >= 0))
+        while len(wait):
+            slot[wait] = (slot[wait] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[wait]]
+            same = held == key[wait]
+            out[wait[same]] = self.values[slot[wait[same]]]
+            wait = wait[~same & (held >= 0)]
+        return out
+
+    def __call__(self, parts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Groups of parts (none empty, each shorter than 62): their numbers, their symbols end to end, and how many each has."""
+        lengths = np.array([len(x) for x in parts])
+        symbols = self.char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        order = np.argsort(lengths, kind="stable")
+        for at in range(0, len(parts), MERGE_PARTS):
+            chosen = order[at : at + MERGE_PARTS]
+            yield chosen.tolist(), *self._merged(symbols, starts[chosen], lengths[chosen])
+
+    def _merged(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide, high = len(lengths), int(lengths.max())
+        place = np.arange(high + 2)[:, None]  # place 0 and those after a part's end hold no symbol
+        inside = (place >= 1) & (place <= lengths)
+        s = np.where(inside, symbols[np.minimum(starts + np.maximum(place - 1, 0), len(symbols) - 1)], self.NONE)
+        after = np.repeat(np.arange(1, high + 3), wide)
+        before = np.repeat(np.arange(-1, high + 1), wide)
+        best = np.full(s.shape, self.NEVER)
+        for k in range(1, high):
+            found = self.find(s[k], s[k + 1])
+            best[k] = np.where(found == self.NEVER, found, found | k << self.SYMBOL_BITS)
+        s, flat = s.ravel(), best.ravel()
+        column = np.arange(wide)
+        while len(column):
+            merge = best.min(axis=0)[column]
+            on = merge != self.NEVER
+            column, merge = column[on], merge[on]
+            piece = merge & ((1 << self.SYMBOL_BITS) - 1)
+            here = (merge >> self.SYMBOL_BITS) & ((1 << self.PLACE_BITS) - 1)
+            a = here * wide + column
+            b = after[a] * wide + column
+            beyond, prior = after[b], before[a]
+            c, z = beyond * wide + column, prior * wide + column
+            s[a], s[b] = piece, self.NONE
+            flat[b] = self.NEVER
+            after[a], before[c] = beyond, here
+            for at, where, left, right in ((a, here, piece, s[c]), (z, prior, s[z], piece)):
+                found = self.find(left, right)
+                flat[at] = np.where(found == self.NEVER, found, found | where << self.SYMBOL_BITS)
+        s = s.reshape(best.shape).T
+        kept = s != self.NONE
+        return s[kept], kept.sum(axis=1)
 
 
 class MergeCodec:
@@ -65,6 +176,7 @@ class MergeCodec:
         automaton.make_automaton()
         self.automaton = automaton
         self.byte_id = {b: i for i, b in self.byte_of.items()}
+        self.chars = np.array([len(x) for x in self.text])
         inside = set().union(*map(set, self.ids)) if self.ids else set()
         self.cut_lines = "\n" not in inside
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -74,6 +186,7 @@ class MergeCodec:
         self.stray_text: list[str] = []
         self.marked = _Parts(self, MARK)
         self.plain = _Parts(self, "")
+        self.merges = _Merges(self.ids, self.score)
 
     def merged(self, text: str) -> list[str]:
         """Greedy merging from single characters; used on two tokens at a time, so short."""
@@ -181,6 +294,54 @@ class MergeCodec:
             out.append(_from_bytes(bytes(run)))
         return "".join(out).replace(MARK, " ")
 
+    def prepare(self, texts: list[str]) -> None:
+        """Puts the short parts of the texts that the caches lack into them."""
+        marked: set[str] = set()
+        plain: set[str] = set()
+        for text in texts:
+            if MARK in text:
+                text = text.replace(MARK, " ")
+            for i, line in enumerate(text.split("\n") if self.cut_lines else [text]):
+                words = line.split(" ")
+                if "" in words:
+                    for cache, word in self._spaced(words, not i):
+                        (marked if cache is self.marked else plain).add(word)
+                    continue
+                if i:
+                    plain.add(words[0])
+                    del words[0]
+                marked.update(words)
+        for cache, words in ((self.marked, marked), (self.plain, plain)):
+            cache.fill([w for w in words if w not in cache and len(w) <= CACHE_CHARS])
+
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, tuple[bytes, str]]]:
+        """`part` of many short ones at once, with the number of each."""
+        for numbers, symbols, counts in self.merges(texts):
+            plain = np.flatnonzero(symbols >= self.merges.PLAIN)
+            spelt = np.zeros(len(counts), np.bool_)  # parts in which characters without a piece become their bytes
+            if len(plain):
+                kinds, at = np.unique(symbols[plain], return_inverse=True)
+                made = [[self.byte_id.get(b, self.unknown_id) for b in chr(c - self.merges.PLAIN).encode()] for c in kinds.tolist()]
+                many = np.ones(len(symbols), np.int64)
+                many[plain] = np.array([len(x) for x in made])[at]
+                owner = np.repeat(np.arange(len(counts)), counts)
+                spelt[owner[plain]] = True
+                counts = np.bincount(owner, many, len(counts)).astype(np.int64)
+                first = np.cumsum(many) - many
+                symbols = np.repeat(symbols, many)
+                for k in range(max(map(len, made))):
+                    has = many[plain] > k
+                    symbols[first[plain[has]] + k] = np.array([x[k] if len(x) > k else 0 for x in made])[at[has]]
+            ids = symbols.astype(np.int32).tobytes()
+            text = "".join(map(self.text.__getitem__, symbols.tolist())).replace(MARK, " ")
+            ends = np.cumsum(counts)
+            chars = np.cumsum(self.chars[symbols])[ends - 1].tolist()
+            a = x = 0
+            for number, b, y, hard in zip(numbers, (4 * ends).tolist(), chars, spelt.tolist(), strict=True):
+                own = ids[a:b]
+                yield number, (own, self.pieces_text(np.frombuffer(own, np.int32).tolist()) if hard else text[x:y])
+                a, x = b, y
+
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids with the end id, and the decoded text."""
         found: list[tuple[bytes, str]] = []
@@ -198,7 +359,7 @@ class MergeCodec:
                         del words[0]
                     found += [marked[w] for w in words]
                 else:
-                    self._spaced(words, not i, found)
+                    found += [cache[w] for cache, w in self._spaced(words, not i)]
         tail = array("i", [self.end_id]).tobytes() if self.end else b""
         if not found:
             return np.frombuffer(tail, dtype=np.int32), ""
@@ -206,16 +367,16 @@ class MergeCodec:
         decoded = "".join(texts)
         return np.frombuffer(b"".join(ids) + tail, dtype=np.int32), decoded[1:] if decoded.startswith(" ") else decoded
 
-    def _spaced(self, words: list[str], first: bool, found: list) -> None:
-        """Parts of a line with spaces in a row: each run of marks goes with the word after it."""
+    def _spaced(self, words: list[str], first: bool) -> Iterator[tuple[_Parts, str]]:
+        """Parts of a line with spaces in a row, each with its cache: each run of marks goes with the word after it."""
         marks = 0
         for k, word in enumerate(words):
             marks += bool(k or first)
             if word or k == len(words) - 1:
                 if marks == 1 and word:
-                    found.append(self.marked[word])
+                    yield self.marked, word
                 elif marks or word:
-                    found.append(self.plain[MARK * marks + word])
+                    yield self.plain, MARK * marks + word
                 marks = 0
 
     def decode(self, ids) -> str:
@@ -259,6 +420,13 @@ class _Parts(dict):
             self[word] = value
         return value
 
+    def fill(self, words: list[str]) -> None:
+        if len(self) + len(words) > CACHE_PARTS:
+            self.clear()
+        if words:
+            for number, value in self.codec.parts([self.prefix + w for w in words]):
+                self[words[number]] = value
+
 
 _CODECS: dict[tuple[str, bool], MergeCodec] = {}
 
@@ -279,7 +447,9 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         own = codec(model_path, end)
         for part in slices(batches):
             ids, decoded = [], []
-            for text in strings(part.column(1)):
+            texts = strings(part.column(1))
+            own.prepare(texts)
+            for text in texts:
                 i, d = own.encode(text)
                 ids.append(i)
                 decoded.append(d)
