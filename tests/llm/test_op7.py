@@ -107,3 +107,46 @@ def test_passage_shared_by_thousands(spark, monkeypatch):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c", 5, "x", 7), (2, "a b c", 6, "y", 8)], "doc_id long, text string, node long, digest string, component long")
     assert sorted(map(tuple, op7.group(df).select("doc_id", "n_shingles", "component_id", "kept").collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_variants_of_one_text_around_the_threshold(spark, monkeypatch):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs = []
+    for group, many in enumerate((160, 40, 12, 5)):
+        base = [rng.choice(vocab) for _ in range(150)]
+        for i in range(many):  # edits leave 0.3 to 0.95 of the shingles; many variants link with nothing
+            w = list(base)
+            for _ in range(rng.randrange(1, 14)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            docs.append((group * 1000 + i, " ".join(w)))
+    for i in range(60):
+        docs.append((9000 + i, " ".join(rng.choice(vocab) for _ in range(80))))
+    rng.shuffle(docs)
+    seen = {}
+
+    def spy(name):
+        real = getattr(op7, name)
+
+        def call(*args):
+            seen[name] = args, (out := op7.materialize(real(*args), "spied"))
+            return out
+
+        monkeypatch.setattr(op7, name, call)
+
+    monkeypatch.setattr(op7, "BLOCK", 32)
+    monkeypatch.setattr(op7, "SETS", 16)
+    for name in ("_crossing", "_confirmed_in_blocks"):
+        spy(name)
+    check(spark, docs)
+    found = [tuple(sorted((r.a, r.b))) for r in seen["_crossing"][1].collect()]
+    assert len(found) > 500 and len(found) == len(set(found))  # each pair once, though it meets under many keys
+    # the same groups as pair by pair, without a link for each similar pair
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs = seen["_crossing"][1]
+    plain = op7.components(op7._confirmed(pairs, df, "text", 70))
+    links = op7._confirmed_in_blocks(pairs, df, "text", 70)
+    assert sorted(map(tuple, op7.components(links).collect())) == sorted(map(tuple, plain.collect()))
+    monkeypatch.setattr(op7, "SETS", 256)
+    few = op7._confirmed_in_blocks(pairs, df, "text", 70)
+    assert sorted(map(tuple, op7.components(few).collect())) == sorted(map(tuple, plain.collect()))

@@ -10,7 +10,9 @@ large groups of near copies in about as many comparisons as they have nodes; the
 still in different components are compared, so no link between components is missed and none inside one is spent on.
 Sizes and signatures are tested before any text is read. Texts are read again only for pairs that pass (a bitmap of a
 fixed size tells which), travel compressed, and become sets where they meet. Before the last step pairs must also be near
-by LONG further minima, so documents that share a passage are told apart without their texts.
+by LONG further minima, so documents that share a passage are told apart without their texts. A group of variants of one
+text, of which many are just below the threshold, leaves pairs by the square of its size; the last step takes each pair
+once, under the first key that it shares, and sends texts to blocks of such groups, not to pairs.
 
 Defined results: null, empty and blank texts have no set, link with nothing and are their own component; a text with
 fewer than 5 words has one shingle, its whole sequence; repeated rows are copies; a null id takes part in linking but
@@ -44,6 +46,8 @@ HUB_DISTANCE = 31
 LONG, LONG_DISTANCE = 256, 121
 #: Rows of a key that meet at once.
 BLOCK = 2_048
+#: Texts of a family of candidates that become sets at once, on either side.
+SETS = 256
 #: log2 of the bits of the map of texts to read again; 8 MB, whatever the input.
 MAP_BITS = 26
 _MULTIPLY = (np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -109,6 +113,15 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.reshape(len(signatures), CHUNKS * CHUNK)
 
 
+def _first_shared(one: np.ndarray, others: np.ndarray, chunk: int, out: int) -> np.ndarray:
+    """Of signatures (a 64-bit number a chunk) that share the key of `chunk` without value `out`: whether no key before it is shared."""
+    x = others[:, : chunk + 1] ^ one[: chunk + 1]
+    earlier = np.zeros((len(x), chunk), np.bool_)
+    for k in range(CHUNK):
+        earlier |= x[:, :chunk] & ~np.uint64(0xFFFF << 16 * k) == 0
+    return ~earlier.any(axis=1) & ((x[:, chunk] != 0) | (out == 0))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, K)
 
@@ -227,6 +240,68 @@ def _confirmed(pairs: DataFrame, df: DataFrame, text_col: str, percent: int) ->
     return pairs.join(x, "ha").join(y, "hb").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _confirmed_in_blocks(pairs: DataFrame, df: DataFrame, text_col: str, percent: int) -> DataFrame:
+    """Like `_confirmed`, for pairs that outnumber their texts: `a, b` that join the same nodes as all similar pairs do.
+
+    Nodes with the same least partner are a family; families of more than SETS nodes are cut into blocks. The pairs of two
+    blocks are one unit, those of small families share units, and each unit gets every text it needs once. Of pairs that a
+    unit has joined already none is returned.
+    """
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    nodes = materialize(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("family")), "families")
+    shared = max(1, nodes.count() // SETS)
+    parts = nodes.groupBy("family").agg(F.ceil(F.count("node") / SETS).cast("int").alias("parts"))
+    placed = nodes.join(parts, "family").select("node", "family", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    side = lambda end: placed.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("family", "parts", "part")))
+    small = (F.col("parts_a") == 1) & (F.col("parts_b") == 1)
+    bin_of = lambda family, n: F.pmod(F.xxhash64(family), F.lit(n))
+    apart = F.when(F.col("family_a") != F.col("family_b"), bin_of("family_b", -(-shared // 64)))
+    unit = F.when(small, F.xxhash64(bin_of("family_a", shared), F.coalesce(apart, F.lit(-1)))).otherwise(F.xxhash64("family_a", "part_a", "family_b", "part_b"))
+    units = pairs.join(side("a"), "a").join(side("b"), "b").select(unit.alias("unit"), "a", "b", "ha", "hb")
+    hashes = F.explode(F.array("ha", "hb")).alias("text_hash")
+    texts = _reread(df, text_col, pairs.select(hashes).distinct(), _packed)
+    needed = units.select(F.col("unit").alias("of"), hashes).distinct().join(texts, "text_hash")
+
+    def meet(found: pa.Table, held: pa.Table) -> pa.Table:
+        bodies, named = held.column("made").to_pylist(), held.column("text_hash").to_numpy()
+        sets = [x for at in range(0, len(bodies), 64) for x in _sets_of(bodies[at : at + 64])]
+        size = np.array([len(x) for x in sets])
+        start = np.cumsum(size) - size
+        kinds, item = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(named)
+        found = found.sort_by([("ha", "ascending")])
+        x, y = (order[np.searchsorted(named, found.column(c).to_numpy(), sorter=order)] for c in ("ha", "hb"))
+        common = np.empty(len(x), np.int64)
+        mark = np.zeros(len(kinds), np.bool_)
+        edges = np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1
+        for low, high in zip(np.append(0, edges[:-1]).tolist(), edges.tolist(), strict=True):
+            own = item[start[x[low]] : start[x[low]] + size[x[low]]]
+            mark[own] = True
+            for at in range(low, high, SETS):
+                others = y[at : min(at + SETS, high)]
+                first = np.cumsum(size[others]) - size[others]
+                places = np.repeat(start[others] - first, size[others]) + np.arange(size[others].sum())
+                common[at : at + len(others)] = np.add.reduceat(mark[item[places]].astype(np.int64), first)
+            mark[own] = False
+        similar = np.flatnonzero(100 * common >= percent * (size[x] + size[y] - common))
+        above = list(range(len(sets)))
+
+        def top(i: int) -> int:
+            while above[i] != i:
+                above[i] = i = above[above[i]]
+            return i
+
+        kept = []
+        for k, i, j in zip(similar.tolist(), x[similar].tolist(), y[similar].tolist(), strict=True):
+            i, j = top(i), top(j)
+            if i != j:
+                above[i] = j
+                kept.append(k)
+        return found.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return units.groupBy("unit").cogroup(needed.groupBy("of")).applyInArrow(meet, "a long, b long")
+
+
 def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, `n_shingles`, `component_id`, `kept` and `text_hash` (null without words)."""
     rows = materialize(sketch(df, id_col, text_col), "sketches")
@@ -236,9 +311,9 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("top > hub").drop("top")
     met = materialize(keyed.join(hubs, "key"), "met")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, test: Callable[..., DataFrame] = _confirmed) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        out = materialize(_confirmed(pairs, df, text_col, percent), "links")
+        out = materialize(test(pairs, df, text_col, percent), "links")
         release(pairs)
         return out
 
@@ -256,7 +331,7 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent
     still = materialize(_open(open_.select("key", "node"), found), "open")
     release(open_, found)
     if not still.isEmpty():
-        links.append(confirm(_crossing(still, nodes, df, text_col, percent)))
+        links.append(confirm(_crossing(still, nodes, df, text_col, percent), _confirmed_in_blocks))
     release(still)
     found = components(functools.reduce(DataFrame.unionByName, links))
     release(*links)
@@ -286,16 +361,16 @@ def _crossing(open_: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str,
     sized = open_.groupBy("key", "component").agg(F.count("node").alias("rows"))
     keys = sized.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
     keys = keys.select("key", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("all"), F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("int").alias("minor"))
-    wanted = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text_hash", "n")
+    wanted = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text_hash", "n", "signature")
     long = _reread(df, text_col, wanted, _long_signatures).join(wanted, "text_hash")
-    long = materialize(long.select("node", "text_hash", "n", F.col("made").alias("sig")), "long")
+    long = materialize(long.select("node", "text_hash", "n", "signature", F.col("made").alias("sig")), "long")
     rows = open_.join(long, "node").join(keys, "key")
     shared = max(1, open_.count() // 32_768)
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     alone = (F.col("all") == 1) & (F.col("minor") == 1)
     unit = lambda i, j: F.when(alone, F.pmod(F.xxhash64("key"), F.lit(shared)).cast("string")).otherwise(F.concat_ws(":", "key", i, j))
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    carried = ["key", "node", "component", "n", "text_hash", "sig"]
+    carried = ["key", "node", "component", "n", "text_hash", "signature", "sig"]
     left = rows.filter("component <> largest").withColumn("other", others("all")).select(unit(block("minor"), "other").alias("unit"), F.lit(0).alias("side"), F.lit(False).alias("top"), *carried)
     right = rows.withColumn("other", others("minor")).select(unit("other", block("all")).alias("unit"), F.lit(1).alias("side"), (F.col("component") == F.col("largest")).alias("top"), *carried)
 
@@ -303,20 +378,24 @@ def _crossing(open_: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str,
         table = table.sort_by([("key", "ascending"), ("side", "ascending")])
         key, side, top, node, component, n, own = (table.column(c).to_numpy() for c in ("key", "side", "top", "node", "component", "n", "text_hash"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, LONG)
+        short = _matrix(table.column("signature"))
+        packed = short.astype("<u2").view("<u8")
         ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
         p, q = [], []
         for start, stop in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
             cut = start + int(np.searchsorted(side[start:stop], 1))
             r = np.arange(cut, stop)
+            own_key = int(np.flatnonzero(chunk_keys(short[start : start + 1])[0].view(np.int64) == key[start])[0])
             for i in range(start, cut):
                 j = r[(component[r] != component[i]) & (top[r] | (node[r] > node[i])) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
+                j = j[_first_shared(packed[i], packed[j], *divmod(own_key, CHUNK))]
                 j = j[np.count_nonzero(sig[j] != sig[i], axis=1) <= LONG_DISTANCE]
                 p.append(np.full(len(j), i))
                 q.append(j)
         p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (p, q))
         return pa.table({"a": node[p], "b": node[q], "ha": own[p], "hb": own[q]})
 
-    return left.unionByName(right).groupBy("unit").applyInArrow(meet, "a long, b long, ha long, hb long").distinct()
+    return left.unionByName(right).groupBy("unit").applyInArrow(meet, "a long, b long, ha long, hb long")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
