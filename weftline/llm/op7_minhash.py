@@ -382,10 +382,11 @@ def _crossing(open_: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str,
         packed = short.astype("<u2").view("<u8")
         ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
         p, q = [], []
-        for start, stop in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        starts = np.append(0, ends[:-1])
+        own_keys = (chunk_keys(short[starts]).view(np.int64) == key[starts][:, None]).argmax(axis=1)
+        for start, stop, own_key in zip(starts.tolist(), ends.tolist(), own_keys.tolist(), strict=True):
             cut = start + int(np.searchsorted(side[start:stop], 1))
             r = np.arange(cut, stop)
-            own_key = int(np.flatnonzero(chunk_keys(short[start : start + 1])[0].view(np.int64) == key[start])[0])
             for i in range(start, cut):
                 j = r[(component[r] != component[i]) & (top[r] | (node[r] > node[i])) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
                 j = j[_first_shared(packed[i], packed[j], *divmod(own_key, CHUNK))]
