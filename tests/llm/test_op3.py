@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -82,3 +83,54 @@ def test_short_parts_are_merged_together(library, monkeypatch):
     assert len(walked) < len(own.marked) / 10  # one walk a distinct word before; now only newlines and long parts
     for cache in (own.marked, own.plain):
         assert all(own.part(cache.prefix + word) == value for word, value in cache.items() if value)
+
+
+def _rows_equal(own, library, texts):
+    ids, counts, decoded = own.rows(pa.array(texts, pa.string()))
+    assert len(counts) == len(decoded) == len(texts)
+    at = 0
+    for text, n, d in zip(texts, counts.tolist(), decoded.to_pylist(), strict=True):
+        want = library.encode(text or "", add_eos=True)
+        assert ids[at : at + n].tolist() == want, text
+        assert d == library.decode(want), text
+        at += n
+    assert at == len(ids)
+
+
+def _mixed_texts(count):
+    rng = random.Random(9)
+    alphabets = ["ab ", "theraion \n", "ehlo wrd.,!\t ", "éàüß ñó語漢😀 a\n", " ▁\n\r;)}", "0123456789abcdef+-=/ ", "漢語字☃", "\x00\x7f <s>/"]
+    return [None, *HARD, *("".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randrange(0, 150))) for k in range(count)), "", None]
+
+
+def test_rows_are_encoded_together(library, monkeypatch):
+    own = op3.MergeCodec(PATH)
+    monkeypatch.setattr(op3.MergeCodec, "encode", lambda *_: pytest.fail("a row was encoded on its own"))
+    _rows_equal(own, library, _mixed_texts(2000))
+    _rows_equal(own, library, [])
+    _rows_equal(own, library, [None, ""])
+    before = own.known.parts
+    _rows_equal(own, library, ["zorvalon, zorvalon. zorvalon; zorvalon! zorvalon: zorvalon? zorvalon1 zorvalon22"])
+    assert own.known.parts <= before + 9  # the word, and at most each character after it, not eight words
+
+
+def test_parts_under_one_hash(library, monkeypatch):
+    alone = []
+    encode, hashes = op3.MergeCodec.encode, op3._hashes
+    monkeypatch.setattr(op3.MergeCodec, "encode", lambda self, text: alone.append(text) or encode(self, text))
+    monkeypatch.setattr(op3, "_hashes", lambda *x: hashes(*x) % 5)
+    texts = _mixed_texts(200)
+    _rows_equal(op3.MergeCodec(PATH), library, texts)
+    assert len(alone) == len(texts)
+
+
+def test_bounded_arrays_and_long_rows(library, monkeypatch):
+    monkeypatch.setattr(op3, "GROUP_BYTES", 2_000)
+    monkeypatch.setattr(op3, "KNOWN_PARTS", 2_048)
+    monkeypatch.setattr(op3, "KNOWN_IDS", 9_000)
+    own = op3.MergeCodec(PATH)
+    cleared = []
+    clear = own.known.clear
+    monkeypatch.setattr(own.known, "clear", lambda: cleared.append(own.known.parts) or clear())
+    _rows_equal(own, library, _mixed_texts(1500))
+    assert cleared and max(cleared) <= 2_048

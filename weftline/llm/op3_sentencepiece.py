@@ -7,13 +7,18 @@ that start there (all found by one Aho-Corasick pass), longest first, keeps the
 and steps back where none fits. The encoding of a prefix is unique, so a position that failed once has failed for good;
 a bitfield holds those.
 
-Pieces hold the space mark only at their start, so texts are cut before each run of marks and around characters that no
-piece holds; each distinct part is encoded once per worker and kept in a bounded cache.
+No merge crosses two neighbouring bytes that no piece holds side by side, so texts are cut there: before each run of
+spaces, around line ends, digits and most punctuation. Each distinct part is encoded once per worker and kept in a
+bounded cache.
 
 That takes a walk in Python per part, and most distinct words of a large corpus occur once. So the short parts that a slice
 of rows needs and the cache lacks are merged together instead, as the definition says, in arrays with a column per part:
 each round makes every part's best merge. Longer parts, for which merging would be quadratic, are walked as above.
 
+Rows are taken together as bytes in arrays, too: parts are looked up by a hash, and their ids and the bytes that these
+decode to are gathered for all rows at once. The decoded bytes must be those of the rows, part by part, which shows that no
+two parts met under one hash; where they differ, and for very long rows, rows are encoded one by one.
+
 Null and empty texts encode to the end id alone. Texts may be of any length. Rows are encoded one by one, so repeated
 rows get the same ids and null ids pass through; an empty table gives an empty result. Other columns than id and text are
 not carried, so clashing names can't arise.
@@ -26,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import int_lists, read, slices, strings
+from weftline.llm.common import int_lists, read, slices, strings, utf8
 
 MARK = "▁"
 #: Distinct parts that a worker keeps; beyond them its cache starts anew.
@@ -38,6 +44,107 @@ CACHE_PARTS = 400_000
 CACHE_CHARS = 48
 #: Parts that are merged together; their arrays stay in a core's cache.
 MERGE_PARTS = 4_096
+#: Bytes of text that are encoded together; arrays take some 60 times as much. Longer rows are encoded one by one.
+GROUP_BYTES = 1 << 20
+#: Distinct parts, and ids of them, that a worker keeps in arrays; beyond them they start anew.
+KNOWN_PARTS = 1 << 19
+KNOWN_IDS = 1 << 23
+#: Bytes of the longest part that is hashed in arrays.
+HASH_BYTES = 64
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _hashes(padded: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """63-bit hashes of the parts of a buffer that has 8 bytes more than they reach."""
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    h = width.astype(np.uint64)
+    left = np.arange(len(at))
+    for k in range(0, HASH_BYTES, 8):
+        x = (h[left] ^ (eight[at[left] + k] & _FIRST_BYTES[np.minimum(width[left] - k, 8)])) * _ODD
+        h[left] = x ^ (x >> np.uint64(29))
+        left = left[width[left] > k + 8]
+        if not len(left):
+            break
+    h = (h >> np.uint64(1)).astype(np.int64)
+    for i in left.tolist():
+        h[i] = hash(padded[at[i] : at[i] + width[i]].tobytes()) & np.iinfo(np.int64).max
+    return h
+
+
+def _gathered(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """`count` values of the pool from each `first` on, end to end."""
+    index = np.repeat(first - (np.cumsum(count) - count), count)
+    index += np.arange(len(index))
+    return pool[index]
+
+
+class _Table:
+    """Numbers from 0 on, each with a value, by open addressing."""
+
+    def __init__(self, bits: int, missing: int):
+        self.bits, self.missing = bits, missing
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, missing, np.int64)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Keys, each once, that the table lacks."""
+        slot = self._slot(key)
+        while len(key):
+            while (taken := (self.keys[slot] >= 0)).any():
+                slot[taken] = (slot[taken] + 1) & (len(self.keys) - 1)
+            slots, first = np.unique(slot, return_index=True)
+            self.keys[slots], self.values[slots] = key[first], value[first]
+            wait = np.ones(len(key), np.bool_)
+            wait[first] = False
+            key, value, slot = key[wait], value[wait], slot[wait]
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.values[slot], self.missing)
+        wait = np.flatnonzero((held != key) & (held >= 0))
+        while len(wait):
+            slot[wait] = (slot[wait] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[wait]]
+            same = held == key[wait]
+            out[wait[same]] = self.values[slot[wait[same]]]
+            wait = wait[~same & (held >= 0)]
+        return out
+
+
+class _Known:
+    """Ids of the parts that a worker has met, in arrays; number 0 is what ends a row."""
+
+    def __init__(self, end: list[int]):
+        self.end = end
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = _Table(KNOWN_PARTS.bit_length(), -1)
+        self.first, self.count, self.width = np.zeros((3, KNOWN_PARTS + 1), np.int64)
+        self.pool = np.zeros(1 << 20, np.int32)
+        self.pool[: len(self.end)] = self.end
+        self.count[0] = self.used = len(self.end)
+        self.parts = 1
+
+    def has_room(self, more: int) -> bool:
+        return self.parts + more <= KNOWN_PARTS and self.used <= KNOWN_IDS
+
+    def add(self, key: np.ndarray, width: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """New parts: their hashes, bytes, numbers of ids, and ids end to end."""
+        at = np.arange(self.parts, self.parts + len(key))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first[at], self.count[at], self.width[at] = self.used + np.cumsum(count) - count, count, width
+        self.used += len(ids)
+        self.parts += len(key)
+        self.table.add(key, at)
 
 
 class _Merges:
@@ -66,50 +173,21 @@ class _Merges:
                 if left is not None and right is not None:
                     keys.append(left << self.SYMBOL_BITS | right)
                     values.append(rank[score[piece]] << (self.SYMBOL_BITS + self.PLACE_BITS) | i)
-        self.bits = max(4, len(keys).bit_length() + 3)
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.full(1 << self.bits, self.NEVER)
-        key, value = np.array(keys, np.int64), np.array(values, np.int64)
-        slot = self._slot(key)
-        while len(key):
-            slot, first = np.unique(slot, return_index=True)
-            free = self.keys[slot] < 0
-            self.keys[slot[free]], self.values[slot[free]] = key[first[free]], value[first[free]]
-            left = np.ones(len(key), np.bool_)
-            left[first[free]] = False
-            # all that wait go to the slot after the one they tried last
-            key, value = key[left], value[left]
-            slot = self._slot(key)
-            while len(key) and (taken := (self.keys[slot] >= 0)).any():
-                slot[taken] = (slot[taken] + 1) & (len(self.keys) - 1)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.table = _Table(max(4, len(keys).bit_length() + 3), self.NEVER)
+        self.table.add(np.array(keys, np.int64), np.array(values, np.int64))
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge of each pair with place 0; NEVER without one."""
-        key = left << self.SYMBOL_BITS | right
-        slot = self._slot(key)
-        held = self.keys[slot]
-        out = np.where(held == key, self.values[slot], self.NEVER)
-        wait = np.flatnonzero((held != key) & (held >= 0))
-        while len(wait):
-            slot[wait] = (slot[wait] + 1) & (len(self.keys) - 1)
-            held = self.keys[slot[wait]]
-            same = held == key[wait]
-            out[wait[same]] = self.values[slot[wait[same]]]
-            wait = wait[~same & (held >= 0)]
-        return out
+        return self.table.find(left << self.SYMBOL_BITS | right)
 
-    def __call__(self, parts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Groups of parts (none empty, each shorter than 62): their numbers, their symbols end to end, and how many each has."""
-        lengths = np.array([len(x) for x in parts])
-        symbols = self.char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+    def __call__(self, codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of parts (code points end to end; none empty, each shorter than 62): their numbers, their symbols end to end, and how many each has."""
+        symbols = self.char[codes]
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(lengths, kind="stable")
-        for at in range(0, len(parts), MERGE_PARTS):
+        for at in range(0, len(lengths), MERGE_PARTS):
             chosen = order[at : at + MERGE_PARTS]
-            yield chosen.tolist(), *self._merged(symbols, starts[chosen], lengths[chosen])
+            yield chosen, *self._merged(symbols, starts[chosen], lengths[chosen])
 
     def _merged(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide, high = len(lengths), int(lengths.max())
@@ -187,6 +265,21 @@ class MergeCodec:
         self.marked = _Parts(self, MARK)
         self.plain = _Parts(self, "")
         self.merges = _Merges(self.ids, self.score)
+        self.known = _Known([self.end_id] if end else [])
+        decoded = [b"" if i in self.byte_of else x.replace(MARK, " ").encode() for i, x in enumerate(self.text)]
+        beside = np.zeros((256, 256), np.bool_)
+        for piece in decoded:
+            at = np.frombuffer(piece, np.uint8)
+            beside[at[:-1], at[1:]] = True
+        beside[:, 0x80:0xC0] = True  # not within a character
+        beside[ord(" "), ord(" ")] = True
+        self.cuts = ~beside.ravel()
+        for i, b in self.byte_of.items():
+            decoded[i] = bytes([b])
+        decoded[self.unknown_id] = " ⁇ ".encode()
+        self.piece_bytes = np.frombuffer(b"".join(decoded), np.uint8)
+        self.piece_width = np.array([len(x) for x in decoded])
+        self.piece_first = np.cumsum(self.piece_width) - self.piece_width
 
     def merged(self, text: str) -> list[str]:
         """Greedy merging from single characters; used on two tokens at a time, so short."""
@@ -314,9 +407,9 @@ class MergeCodec:
         for cache, words in ((self.marked, marked), (self.plain, plain)):
             cache.fill([w for w in words if w not in cache and len(w) <= CACHE_CHARS])
 
-    def parts(self, texts: list[str]) -> Iterator[tuple[int, tuple[bytes, str]]]:
-        """`part` of many short ones at once, with the number of each."""
-        for numbers, symbols, counts in self.merges(texts):
+    def _merged_ids(self, codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of short parts: their numbers, their ids end to end, how many each has, and whether some of them are bytes."""
+        for numbers, symbols, counts in self.merges(codes, lengths):
             plain = np.flatnonzero(symbols >= self.merges.PLAIN)
             spelt = np.zeros(len(counts), np.bool_)  # parts in which characters without a piece become their bytes
             if len(plain):
@@ -332,12 +425,18 @@ class MergeCodec:
                 for k in range(max(map(len, made))):
                     has = many[plain] > k
                     symbols[first[plain[has]] + k] = np.array([x[k] if len(x) > k else 0 for x in made])[at[has]]
+            yield numbers, symbols, counts, spelt
+
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, tuple[bytes, str]]]:
+        """`part` of many short ones at once, with the number of each."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        for numbers, symbols, counts, spelt in self._merged_ids(codes, np.array([len(x) for x in texts])):
             ids = symbols.astype(np.int32).tobytes()
             text = "".join(map(self.text.__getitem__, symbols.tolist())).replace(MARK, " ")
             ends = np.cumsum(counts)
             chars = np.cumsum(self.chars[symbols])[ends - 1].tolist()
             a = x = 0
-            for number, b, y, hard in zip(numbers, (4 * ends).tolist(), chars, spelt.tolist(), strict=True):
+            for number, b, y, hard in zip(numbers.tolist(), (4 * ends).tolist(), chars, spelt.tolist(), strict=True):
                 own = ids[a:b]
                 yield number, (own, self.pieces_text(np.frombuffer(own, np.int32).tolist()) if hard else text[x:y])
                 a, x = b, y
@@ -367,6 +466,83 @@ class MergeCodec:
         decoded = "".join(texts)
         return np.frombuffer(b"".join(ids) + tail, dtype=np.int32), decoded[1:] if decoded.startswith(" ") else decoded
 
+    def rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all rows of a string column end to end, how many each has, and what they decode to."""
+        if pc.any(pc.match_substring(column, MARK)).as_py():
+            column = pc.replace_substring(column, MARK, " ")
+        raw, offsets = utf8(column)
+        ids, counts, widths, decoded = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        at = 0
+        while at < len(column):
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES, "right")) - 1)
+            found = None
+            if offsets[stop] - offsets[at] <= GROUP_BYTES:
+                found = self._together(raw[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
+            for out, x in zip((ids, counts, widths, decoded), found or self._singly(strings(column[at:stop])), strict=True):
+                out.append(x)
+            at = stop
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(widths))]).astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(column), pa.py_buffer(ends), pa.py_buffer(b"".join(decoded)))
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate(counts), texts
+
+    def _singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+        self.prepare(texts)
+        ids, decoded = zip(*map(self.encode, texts), strict=True)
+        own = [x.encode() for x in decoded]
+        return np.concatenate(ids), np.array([len(x) for x in ids]), np.array([len(x) for x in own]), b"".join(own)
+
+    def _together(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes] | None:
+        """Ids of rows, how many each has, bytes of each decoded text, and these end to end; none if a part isn't what its hash says."""
+        known, total = self.known, len(offsets) - 1
+        full = np.flatnonzero(np.diff(offsets))  # empty rows have no parts
+        memory = raw.tobytes()
+        padded = np.frombuffer(b"".join(b" " + memory[a:b] for a, b in zip(offsets[full].tolist(), offsets[full + 1].tolist(), strict=True)) + bytes(8), np.uint8)
+        text, begin = padded[:-8], offsets[full] + np.arange(len(full))
+        cut = np.ones(len(text), np.bool_)
+        cut[1:] = self.cuts[text[:-1].astype(np.uint16) << 8 | text[1:]]
+        cut[begin] = True
+        at = np.flatnonzero(cut)
+        width = np.diff(at, append=len(text))
+        key = _hashes(padded, at, width)
+        part = known.table.find(key)
+        if (part < 0).any():
+            new = np.flatnonzero(part < 0)
+            _, first = np.unique(key[new], return_index=True)
+            if not known.has_room(len(first)):
+                known.clear()
+                new = np.arange(len(key))
+                _, first = np.unique(key, return_index=True)
+            new = new[first]
+            self._learn(text, at[new], width[new], key[new])
+            part = known.table.find(key)
+        if (known.width[part] != width).any():
+            return None
+        many = np.zeros(total, np.int64)
+        many[full] = np.diff(np.searchsorted(at, begin), append=len(at))
+        ended = np.zeros(len(at) + total, np.int64)
+        ended[np.arange(len(at)) + np.repeat(np.arange(total), many)] = part
+        count = known.count[ended]
+        ids = _gathered(known.pool, known.first[ended], count)
+        decoded = _gathered(self.piece_bytes, self.piece_first[ids], self.piece_width[ids])
+        if not np.array_equal(decoded, text):
+            return None
+        counts = np.diff(np.cumsum(count)[np.cumsum(many + 1) - 1], prepend=0)
+        kept = np.ones(len(text), np.bool_)
+        kept[begin] = False  # the space that encoding puts first
+        return ids, counts, np.diff(offsets), decoded[kept].tobytes()
+
+    def _learn(self, text: np.ndarray, at: np.ndarray, width: np.ndarray, key: np.ndarray) -> None:
+        """Puts parts, given by their places in the text, among the known ones."""
+        chars = np.diff(np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])[np.stack([at, at + width])], axis=0)[0]
+        short, long = np.flatnonzero(chars <= CACHE_CHARS), np.flatnonzero(chars > CACHE_CHARS)
+        codes = np.frombuffer(_gathered(text, at[short], width[short]).tobytes().decode().replace(" ", MARK).encode("utf-32-le"), np.uint32)
+        for numbers, ids, count, _ in self._merged_ids(codes, chars[short]):
+            chosen = short[numbers]
+            self.known.add(key[chosen], width[chosen], count, ids)
+        for i in long.tolist():
+            ids = np.frombuffer(self.part(text[at[i] : at[i] + width[i]].tobytes().decode().replace(" ", MARK))[0], np.int32)
+            self.known.add(key[i : i + 1], width[i : i + 1], np.array([len(ids)]), ids)
+
     def _spaced(self, words: list[str], first: bool) -> Iterator[tuple[_Parts, str]]:
         """Parts of a line with spaces in a row, each with its cache: each run of marks goes with the word after it."""
         marks = 0
@@ -446,15 +622,8 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path, end)
         for part in slices(batches):
-            ids, decoded = [], []
-            texts = strings(part.column(1))
-            own.prepare(texts)
-            for text in texts:
-                i, d = own.encode(text)
-                ids.append(i)
-                decoded.append(d)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), int_lists(flat, [len(x) for x in ids], pa.int32()), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+            ids, counts, decoded = own.rows(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), int_lists(ids, counts, pa.int32()), decoded], names=["id", "ids", "decoded"])
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
