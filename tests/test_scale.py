@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weftline.operators import index
+from weftline.operators import history, index
 
 
 def brute(x, q, most):
@@ -53,3 +53,38 @@ def test_scan_of_one_fingerprint_takes_its_first_ids(spark):
     """Before, each asked row met all 40,000 others."""
     table = spark.range(40_000).selectExpr("id", "1 AS dim", "array(5L) AS fp")
     assert index.scan(table, table.filter("id % 2 = 0"), 6, 2).selectExpr("count(*) AS n", "sum(id) AS ids", "max(distance) AS most").first()[:] == (40_000, 20_002, 0)  # 1 and 2 of the first, 0 and 1 of all others
+
+
+@pytest.fixture
+def sent(spark):
+    """Sets the most bytes of a table that may be sent to the executors by way of the driver; more is an error."""
+    key = "spark.sql.maxBroadcastTableSize"
+    yield lambda most: spark.conf.set(key, most)
+    spark.conf.unset(key)
+
+
+def history_edges(spark, n):
+    """A binary tree of 1 to n - 1 where every tenth commit also has the one before its parent."""
+    first = spark.range(2, n).selectExpr("id AS child", "id div 2 AS parent", "0 AS place")
+    return first.unionByName(first.filter("child % 10 = 0 AND parent > 1").selectExpr("child", "parent - 1 AS parent", "1 AS place"))
+
+
+def test_a_path_does_not_send_the_edges_to_the_driver(spark, sent, monkeypatch):
+    monkeypatch.setattr(history, "SMALL", 0, raising=False)
+    edges = history_edges(spark, 200_000)
+    sent(1)
+    rows = history.path(edges, spark.createDataFrame([(1, 150_000), (7, 150_000), (150_000, 150_000)], "a long, b long")).orderBy("a", "step").collect()
+    up = {150_000: 0}
+    front = [150_000]
+    while front:
+        front = sorted({p for c in front for p in ([c // 2] if c > 1 else []) + ([c // 2 - 1] if c % 10 == 0 and c // 2 > 1 else [])} - up.keys())
+        up |= dict.fromkeys(front, max(up.values()) + 1)
+    want = []
+    for a in (1, 7, 150_000):
+        node = a if a in up else None
+        step = 0
+        while node is not None:
+            want.append((a, 150_000, step, node))
+            below = [c for c in up if (c // 2 == node or c % 10 == 0 and c // 2 - 1 == node) and up[c] == up[node] - 1]
+            node, step = min(below, default=None), step + 1
+    assert [tuple(r) for r in rows] == want and len(want) > 10

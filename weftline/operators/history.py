@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from weftline.operators.lineage import cut
 
 
+#: Rows that are sent to all executors, by way of the driver, to meet a table that stays where it is.
+SMALL = 20_000
+
+
+def _few(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """`rows` as a join should take them: sent to the other side if they are few, else sorted and merged. The other side is never sent."""
+    return F.broadcast(rows) if (rows.count() if n is None else n) <= SMALL else rows.hint("merge")
+
+
 def _walk(edges: DataFrame, start: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
     """Breadth-first rounds: `src, node, depth` reachable from `src` (itself at 0); a node seen before isn't expanded again."""
     spark = edges.sparkSession
     edges = cut(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")))
     seen = start.select("src", F.col("src").alias("node"), F.lit(0).alias("depth")).distinct()
     front, depth = seen, 0
-    while most is None or depth < most:
+    n = known = seen.count()
+    while n and (most is None or depth < most):
         depth += 1
-        step = front.join(edges, F.col("node") == F.col("_from")).select("src", F.col("_to").alias("node")).distinct()
-        front = cut(step.join(seen, ["src", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        step = edges.join(_few(front, n), F.col("node") == F.col("_from")).select("src", F.col("_to").alias("node")).distinct()
+        front = cut(step.join(_few(seen, known), ["src", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if not (n := front.count()):
             break
-        seen = seen.unionByName(front).coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        seen, known = seen.unionByName(front).coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), known + n
         if depth % 8 == 0:
             seen = cut(seen)
     return seen
@@ -39,8 +49,8 @@ def common_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """`a, b, ancestor`: a common ancestor (selves included) that isn't one of another's; the largest id among several."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("src")).distinct()
     up = cut(_walk(edges, ends, "child", "parent").select("src", "node"))
-    both = pairs.join(up.select(F.col("src").alias("a"), "node"), "a").join(up.select(F.col("src").alias("b"), "node"), ["b", "node"])
-    above = both.join(edges, both["node"] == edges["child"]).select("a", "b", F.col("parent").alias("node")).distinct()
+    both = cut(pairs.join(up.select(F.col("src").alias("a"), "node"), "a").join(up.select(F.col("src").alias("b"), "node"), ["b", "node"]))
+    above = edges.select("child", "parent").join(_few(both), F.col("node") == F.col("child")).select("a", "b", F.col("parent").alias("node")).distinct()
     # an ancestor of a common ancestor is the parent of one, as common ancestors are closed upwards
     best = both.join(above, ["a", "b", "node"], "left_anti")
     return best.groupBy("a", "b").agg(F.max("node").alias("ancestor"))
@@ -56,13 +66,13 @@ def log(edges: DataFrame, tips: DataFrame, most: int = 10) -> DataFrame:
     chain = tips.select("src", F.col("src").alias("node"), F.lit(0).alias("depth")).distinct()
     step = 1
     while step < most:
-        grown = cut(chain.join(jump, F.col("node") == F.col("from")).select("src", F.col("to").alias("node"), (F.col("depth") + step).alias("depth")).filter(F.col("depth") < most))
+        grown = cut(jump.join(_few(chain), F.col("node") == F.col("from")).select("src", F.col("to").alias("node"), (F.col("depth") + step).alias("depth")).filter(F.col("depth") < most))
         if grown.isEmpty():
             break
         chain = cut(chain.unionByName(grown))
         step *= 2
         if step < most:
-            jump = cut(jump.join(jump.select(F.col("from").alias("to"), F.col("to").alias("far")), "to").select("from", F.col("far").alias("to")))
+            jump = cut(jump.join(jump.select(F.col("from").alias("to"), F.col("to").alias("far")).hint("merge"), "to").select("from", F.col("far").alias("to")))
     return chain
 
 
@@ -76,16 +86,18 @@ def kinds(commits: DataFrame, edges: DataFrame) -> DataFrame:
 def path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """`a, b, step, node`: the commits on a shortest way from ancestor `a` (step 0) down to `b`, the smallest ids among several."""
     up = cut(_walk(edges, pairs.select(F.col("b").alias("src")).distinct(), "child", "parent"))
-    ends = pairs.join(up.select(F.col("src").alias("b"), F.col("node").alias("a"), F.col("depth").alias("length")), ["a", "b"])
+    known = up.count()
+    ends = up.select(F.col("src").alias("b"), F.col("node").alias("a"), F.col("depth").alias("length")).join(_few(pairs), ["a", "b"])
     front = cut(ends.select("a", "b", "length", F.lit(0).alias("step"), F.col("a").alias("node")))
+    # each `b` has its own edges: those into what it descends from, with their distance to it
+    below = _few(up.select(F.col("src").alias("b"), F.col("node").alias("next"), "depth"), known)
+    ways = cut(edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).join(below, "next"))
     out = front
-    while True:
-        down = front.filter("step < length").join(edges.select(F.col("parent").alias("node"), F.col("child").alias("next")), "node")
-        near = down.join(up.select(F.col("src").alias("b"), F.col("node").alias("next"), "depth"), ["b", "next"]).filter(F.col("depth") == F.col("length") - F.col("step") - 1)
-        front = cut(near.groupBy("a", "b", "length", (F.col("step") + 1).alias("step")).agg(F.min("next").alias("node")))
-        if front.isEmpty():
-            return out.select("a", "b", "step", "node")
+    while n := front.count():
+        down = ways.join(_few(front.filter("step < length"), n), ["b", "node"]).filter(F.col("depth") == F.col("length") - F.col("step") - 1)
+        front = cut(down.groupBy("a", "b", "length", (F.col("step") + 1).alias("step")).agg(F.min("next").alias("node")))
         out = out.unionByName(front)
+    return out.select("a", "b", "step", "node")
 
 
 def path_length(edges: DataFrame, pairs: DataFrame) -> DataFrame:
