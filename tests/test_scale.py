@@ -88,3 +88,29 @@ def test_a_path_does_not_send_the_edges_to_the_driver(spark, sent, monkeypatch):
             below = [c for c in up if (c // 2 == node or c % 10 == 0 and c // 2 - 1 == node) and up[c] == up[node] - 1]
             node, step = min(below, default=None), step + 1
     assert [tuple(r) for r in rows] == want and len(want) > 10
+
+
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_descendants_do_not_send_the_edges_to_the_driver(spark, sent, monkeypatch, small):
+    monkeypatch.setattr(history, "SMALL", small, raising=False)
+    edges = history_edges(spark, 200_000)
+    if small == 0:
+        sent(1)
+    got = [r[:] for r in history.descendants(edges, spark.createDataFrame([(7,), (200_001,)], "src long")).select("src", "node", "depth").collect()]
+    want, front = {7: 0}, {7}
+    children = {}
+    for c in range(2, 200_000):
+        for p in {c // 2} | ({c // 2 - 1} if c % 10 == 0 else set()):
+            children.setdefault(p, []).append(c)
+    while front:
+        front = {c for p in front for c in children.get(p, [])} - want.keys()
+        want |= dict.fromkeys(front, max(want.values()) + 1)
+    assert sorted(got) == sorted((7, n, d) for n, d in want.items() if d) and len(got) >= 25_000
+
+
+def test_logs_do_not_send_the_edges_to_the_driver(spark, sent):
+    edges = history_edges(spark, 200_000)
+    tips = spark.createDataFrame([(150_000,), (1,)], "src long")
+    sent(2 << 20)
+    got = sorted(r[:] for r in history.log(edges, tips, 1000).select("src", "node", "depth").collect())
+    assert got == [(1, 1, 0)] + sorted((150_000, 150_000 >> k, k) for k in range(18))
