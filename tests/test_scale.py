@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from weftline.operators import history, index
+from weftline.operators import codec, history, index
+from weftline.plans import catalog
 
 
 def brute(x, q, most):
@@ -114,3 +115,18 @@ def test_logs_do_not_send_the_edges_to_the_driver(spark, sent):
     sent(2 << 20)
     got = sorted(r[:] for r in history.log(edges, tips, 1000).select("src", "node", "depth").collect())
     assert got == [(1, 1, 0)] + sorted((150_000, 150_000 >> k, k) for k in range(18))
+
+
+def test_round_trips_take_one_python_worker_a_task(spark, sf_dir, capsys):
+    catalog.queries()["xor_round_trips"](spark, sf_dir).explain()
+    assert capsys.readouterr().out.count("EvalPython") == 1
+    rng = np.random.default_rng(7)
+    rows = [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(rng.normal(size=(5, 2, 16)).astype(np.float32).astype(float))]
+    pairs = spark.createDataFrame([*rows, (5, [1.0], [1.0, 2.0]), (6, None, [1.0]), (7, [], [])], "name int, va array<double>, vb array<double>")
+    for kind in codec.KINDS:
+        apart = {r["name"]: r["restored"] for r in codec.decode(codec.encode(pairs, kind).withColumn("kind", codec.F.lit(kind))).collect()}
+        assert {r["name"]: r["restored"][kind] for r in codec.round_trips(pairs, (kind,)).collect()} == apart
+    both = {r["name"]: r["restored"] for r in codec.round_trips(pairs).collect()}
+    assert all(both[n][kind] == b for n, _, b in rows for kind in codec.LOSSLESS) and both[5]["xor_float32"] is None and both[6]["xor_bfloat16"] is None
+    with pytest.raises(ValueError):
+        codec.round_trips(pairs, ("other",))

@@ -243,6 +243,23 @@ def decode(coded: DataFrame) -> DataFrame:
     return coded.withColumn("restored", run("kind", "va", "data"))
 
 
+def round_trips(pairs: DataFrame, kinds: tuple[str, ...] = LOSSLESS) -> DataFrame:
+    """Adds `restored`, a struct with what each kind gives back of `vb`: encoded, and decoded from that payload; null where lengths differ.
+
+    All kinds and both ways are one call, so a task has one Python worker; `encode` and `decode` one after the other have one each.
+    """
+    if unknown := set(kinds) - set(KINDS):
+        raise ValueError(f"unknown kind {min(unknown)}")
+
+    @F.pandas_udf(T.StructType([T.StructField(k, T.ArrayType(T.DoubleType())) for k in kinds]))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        back = lambda kind, x, y: None if x is None or y is None or len(x) != len(y) else decode_one(kind, x, encode_one(kind, x, y)).astype(float)
+        for a, b in batches:
+            yield pd.DataFrame({k: pd.Series([back(k, x, y) for x, y in zip(a, b, strict=True)], dtype=object) for k in kinds})
+
+    return pairs.withColumn("restored", run("va", "vb"))
+
+
 def stored_bytes(data: Column, meta: Column) -> Column:
     """Bytes that a delta takes: payload, metadata as JSON, and a fixed overhead."""
     return (F.length(data) + F.length(meta) + OVERHEAD).cast("long")
